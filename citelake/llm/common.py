@@ -103,13 +103,13 @@ def prefix_hash(data: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray
     return total, inverse
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the first word of each text (length texts + 1)."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word between breaking bytes, and the first word of each text (length texts + 1)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     starts = solid.copy()
@@ -146,7 +146,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WORDS)
     position = np.arange(out[-1]) - out[owner] + at[owner]
     short = np.flatnonzero((count > 0) & (count < width))
     for t in short:
-        rolled[at[t]] = np.sum(h[at[t] : at[t + 1]] * _MIX[: count[t]]) + _MIX[8] * _U(count[t])
+        rolled[at[t] : at[t] + 1] = (h[at[t] : at[t + 1]] * _MIX[: count[t]]).sum(keepdims=True) + _MIX[8:9] * _U(count[t])
     s = mix(rolled[position])
     for t in range(texts):
         s[out[t] : out[t + 1]].sort()

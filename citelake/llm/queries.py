@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import bpe, exact_dedup, token_count
+from citelake.llm import bpe, decontaminate, exact_dedup, quality, token_count, toxicity
+from citelake.llm.labels import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +43,41 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+     b AS (SELECT item_id, len(l) AS n, unnest(l) AS s FROM (SELECT item_id, {_SHINGLES} AS l FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
+FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.budgeted(docs, _tokenizer("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return made.select("doc_id", (fold("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_token_counts": op8_token_counts}
+    return {
+        "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_decontamination": op6_decontamination,
+        "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
