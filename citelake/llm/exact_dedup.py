@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.llm.common import cut
@@ -73,15 +73,10 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, all columns."""
+    """One row of each group of equal texts, all columns: heavy losers go map-side, the rest meet in one shuffle."""
     table = cut(digests(docs, id_col, text_col))
-    heavy = cut(heavy_digests(table, counters))
-    groups = table.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
-    losers = groups.where("n > 1").select("digest", "keep_id").unionByName(heavy.select("digest", "keep_id"))
-    gone = table.join(losers, "digest").where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
-    ours = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    left = docs.withColumn("_sha", ours)
-    return (
-        left.join(gone, left[id_col].eqNullSafe(gone["_gone"]) & (left["_sha"] == gone["_digest"]), "left_anti")
-        .dropDuplicates([id_col, "_sha"]).drop("_sha")
-    )
+    heavy = cut(heavy_digests(table, counters)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
+    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    light = marked.join(F.broadcast(heavy), marked["_sha"] == heavy["_digest"], "left").where(F.col("_digest").isNull() | F.col(id_col).eqNullSafe(F.col("_keep_id")))
+    first = Window.partitionBy("_sha").orderBy(F.col(id_col).desc_nulls_last())
+    return light.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*[docs.columns[k] for k in range(len(docs.columns))])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import bpe, decontaminate, exact_dedup, quality, token_count, toxicity
+from citelake.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, token_count, toxicity
 from citelake.llm.labels import fold
 
 
@@ -15,14 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("byte_bpe_50k.json")
+    path = tokenizer_path("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe.decode(bpe.encode(docs, path).drop("text"), path)
     return made.select(
@@ -61,9 +61,25 @@ FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n
 """
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, {_SHINGLES} AS l FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+     s AS (SELECT doc_id, len(l) AS n, unnest(l) AS s FROM l),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+     e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+     r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x),
+     c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN l USING (doc_id)
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_count.budgeted(docs, _tokenizer("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_count.budgeted(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +91,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_decontamination": op6_decontamination,
-        "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity,
+        "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_near_dedup": OP7_SQL}
