@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, token_count, toxicity
+from citelake.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, token_count, toxicity
 from citelake.llm.labels import fold
 
 
@@ -82,6 +82,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.budgeted(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     made = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -91,7 +95,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_decontamination": op6_decontamination,
-        "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity,
+        "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity,
     }
 
 
