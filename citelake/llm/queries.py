@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, pii, quality, token_count, toxicity
+from citelake.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, pii, quality, suffix_dedup, token_count, toxicity
 from citelake.llm.labels import fold
 
 
@@ -25,6 +25,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return made.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,7 +103,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_html_extraction": op1_html_extraction, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_decontamination": op6_decontamination,
+        "op1_html_extraction": op1_html_extraction, "op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_decontamination": op6_decontamination,
         "op7_near_dedup": op7_near_dedup, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity,
     }
 
