@@ -2,12 +2,15 @@
 
 Two collections of M partial keys, each from T minhashes, stand for M * M tables: table (i, j) is keyed by the pair
 (a_i, b_j), so 2 * M * T minhashes do the work of M * M * 2T. A pair with Jaccard similarity s shares a table with
-chance (1 - (1 - s^T)^M)^2, 0.9997 at 0.75. A partial key that no other text shares can't take part in a table,
-so only the few that are shared are ever combined.
+chance (1 - (1 - s^T)^M)^2, 0.9998 at 0.75 and 0.01 at 0.25. A partial key that no other text shares can't take part in
+a table, so only the few that are shared are ever combined.
 
 Texts with equal shingle sets are one class, told by a 128-bit digest of the set, and only classes are linked. A table's
-members are not all paired: first each is compared with one pivot; then, in rounds, members that are still in different
-components are compared with PIVOTS more, until no table holds two components whose members haven't been compared.
+members are not all paired. First the holders of a partial key are each compared with one pivot, the one that shares the
+most keys, since the origin of a group of near copies shares more than they do among themselves. Keys whose holders are
+now one component are settled. Only the others are combined into tables; members of tables that still hold several
+components are compared across components: through an inverted index of their sets while these are at most PROBE_BYTES,
+else where a prefix filter, which is exact too, allows a similarity.
 Every comparison counts exact intersections of the full sets, so no link between different texts is lost to the way
 pairs are chosen.
 
@@ -31,9 +34,10 @@ from citelake.llm.common import chunks, cut, mix, shingles, signed, text_buffer
 from citelake.llm.components import components
 
 #: Partial keys in each of the two collections, and minhashes in a partial key.
-M, PER_KEY = 16, 3
-PIVOTS = 16
+M, PER_KEY = 24, 4
 SIMILARITY = 75  # per cent
+#: Bytes of unsettled shingle sets up to which an index of them is broadcast.
+PROBE_BYTES = 32 << 20
 #: Bits of the filter that spares texts without any shared table the second pass: 1 MB, whatever the input.
 FILTER_BITS = 23
 
@@ -77,13 +81,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def tables(classes: DataFrame) -> DataFrame:
-    """Members (k, id, n) of every tensored table that has more than one."""
-    keys = classes.select("id", "n", F.posexplode(F.concat("a", "b")).alias("pos", "key")).select("id", "n", (F.col("pos") >= M).alias("second"), "key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    live = keys.join(shared, "key").groupBy("id", "n").agg(*(F.collect_list(F.when(F.col("second") == s, F.col("key"))).alias(c) for c, s in (("a", False), ("b", True))))
-    made = live.select("id", "n", F.explode("a").alias("a"), "b").select("id", "n", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("k"), "id", "n")
-    return made
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, id, n, second) of every partial key that several classes have; second: of the second collection."""
+    keys = classes.select("id", "n", F.posexplode(F.concat("a", "b")).alias("pos", "key")).select("key", "id", "n", (F.col("pos") >= M).alias("second"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
+
+
+def tables(keys: DataFrame) -> DataFrame:
+    """Rows (k, id, n, w) of the tensored tables over the given keys: key, class, shingles, tables of the class."""
+    lists = keys.groupBy("id", "n").agg(*(F.collect_list(F.when(F.col("second") == s, F.col("key"))).alias(c) for c, s in (("a", False), ("b", True))))
+    lists = lists.withColumn("w", F.size("a") * F.size("b"))
+    made = lists.select("id", "n", "w", F.explode("a").alias("a"), "b").select("id", "n", "w", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("k"), "id", "n", "w")
+    return made.join(made.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "k")
 
 
 def _may_link(n: Column, m: Column) -> Column:
@@ -137,32 +146,90 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of every class that is linked with another."""
-    rows = cut(tables(classes))
-    pivots = rows.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")).where("c > 1").select("k", "p.pivot", "p.pivot_n")
-    rows = cut(rows.join(pivots, "k"))
-    sets = cut(member_sets(docs, rows, id_col, text_col))
-    rest = rows.where("id <> pivot")
-    pairs = cut(rest.where(_may_link(F.col("n"), F.col("pivot_n"))).select(*_ordered(F.col("id"), F.col("pivot"))).distinct())
-    links = cut(verify(pairs, sets))
-    tested = [pairs]
-    rest = rest.select("k", "id", "n")
-    while True:
-        labels = cut(components(links, "x", "y"))
-        sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
-        now = rest.join(sized, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
-        open_ = now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-        now = cut(now.join(open_, "k"))
-        turn = Window.partitionBy("k").orderBy("size", F.xxhash64("id"), "id")
-        chosen = cut(now.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= PIVOTS).select("k", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")))
-        if not chosen.take(1):
-            return labels
-        pairs = now.join(chosen, "k").where((F.col("c") != F.col("pc")) & _may_link(F.col("n"), F.col("pn"))).select(*_ordered(F.col("id"), F.col("p"))).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["x", "y"], "left_anti")
-        pairs = cut(pairs)
-        tested.append(pairs)
-        links = cut(links.unionByName(verify(pairs, sets)))
-        rest = cut(now.select("k", "id", "n").join(chosen.select("k", F.col("p").alias("id")), ["k", "id"], "left_anti"))
+    keys = cut(shared_keys(classes))
+    weight = keys.groupBy("id").agg(F.count("*").alias("w"))
+    best = F.max(F.struct("w", F.xxhash64("id").alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
+    pivots = keys.join(weight, "id").groupBy("key").agg(best).select("key", "p.pivot", "p.pivot_n")
+    sets = cut(member_sets(docs, keys, id_col, text_col))
+    first = keys.join(pivots, "key").where((F.col("id") != F.col("pivot")) & _may_link(F.col("n"), F.col("pivot_n")))
+    tested = cut(first.select(*_ordered(F.col("id"), F.col("pivot"))).distinct())
+    links = cut(verify(tested, sets))
+    labels = cut(components(links, "x", "y"))
+    rest = cut(_open(tables(_open(keys, labels, "key").select("key", "id", "n", "second")), labels, "k").select("id", "n", "c").distinct())
+    rest = cut(rest.join(sets, "id"))
+    if (rest.agg(F.sum(F.length("s"))).first()[0] or 0) <= PROBE_BYTES:
+        found = cut(probe(rest))
+    else:
+        found = cut(verify(prefix_pairs(rest).join(tested, ["x", "y"], "left_anti"), sets))
+    return components(cut(links.unionByName(found)), "x", "y") if found.take(1) else labels
+
+
+def probe(rest: DataFrame) -> DataFrame:
+    """(x, y) of different components that are similar, for sets of at most PROBE_BYTES in all.
+
+    Every set meets an inverted index of them all, which counts its exact intersections without a row for each pair.
+    """
+    table = rest.select("id", "c", "s").toArrow()
+    if not table.num_rows:
+        return rest.select(F.col("id").alias("x"), F.col("id").alias("y"))
+    ids, comp = (np.array(table.column(k).to_pylist()) for k in (0, 1))
+    own = [np.frombuffer(x, np.uint64) for x in table.column(2).to_pylist()]
+    sizes = np.array([len(x) for x in own])
+    flat = np.concatenate(own)
+    order = np.argsort(flat, kind="stable")
+    shared = rest.sparkSession.sparkContext.broadcast((ids, comp, sizes, flat[order], np.repeat(np.arange(len(own)), sizes)[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, comp, sizes, flat, owner = shared.value
+        for batch in batches:
+            x, y = [], []
+            for i, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.frombuffer(s.as_buffer(), np.uint64)
+                a, b = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+                size = b - a
+                where = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                same = np.bincount(owner[where], minlength=len(ids))
+                near = np.flatnonzero((100 * same >= SIMILARITY * (len(h) + sizes - same)) & (comp != c) & (ids > i))
+                x += [i] * len(near)
+                y += ids[near].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(0).type), pa.array(y, batch.schema.field(0).type)], names=["x", "y"])
+
+    parts = max(rest.sparkSession.sparkContext.defaultParallelism, 1)
+    return rest.select("id", "c", "s").repartition(4 * parts, "id").mapInArrow(run, T.StructType([T.StructField(k, rest.schema["id"].dataType) for k in ("x", "y")])).distinct()
+
+
+def prefix_pairs(rest: DataFrame) -> DataFrame:
+    """(x, y) of different components that may be similar: exact, without pairing the members of a table.
+
+    With shingles ordered from rare to common, two sets of the similarity must meet among the first
+    n - ceil(n * SIMILARITY / 100) + 1 of each. What very many texts share comes last and pairs nobody.
+    """
+    schema = T.StructType([*(rest.schema[c] for c in ("id", "n", "c")), T.StructField("s", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+                at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(3)), pa.array(np.concatenate(own))], names=schema.names)
+
+    said = rest.select("id", "n", "c", "s").mapInArrow(run, schema)
+    often = said.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    # shingles of one text alone come first in every order: their number is what is missing from the shared ones
+    shared = said.join(often, "s")
+    turn = Window.partitionBy("id").orderBy("often", "s")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
+    heads = cut(shared.withColumn("r", F.row_number().over(turn) + alone).where(F.col("r") <= prefix).select("id", "n", "c", "s"))
+    other = heads.select("s", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+    return heads.join(other, "s").where((F.col("id") < F.col("p")) & (F.col("c") != F.col("pc")) & _may_link(F.col("n"), F.col("pn"))).select(*_ordered(F.col("id"), F.col("p"))).distinct()
+
+
+def _open(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The rows whose key has members of several components, with their component c."""
+    now = rows.join(labels, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("c"))
+    return now.join(now.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(key), key)
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
