@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a numpy kernel takes at once; a longer single text is taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _U = np.uint64
