@@ -11,9 +11,25 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def register(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[key] = f
+        if oracle is not None:
+            ORACLE[key] = oracle
+        return f
+
+    return put
+
+
+def _load() -> None:
+    from citelake.plans import graph_queries, records, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLE)
