@@ -14,9 +14,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a numpy kernel takes at once; a longer single text is taken whole.
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+#: Bits of a filter of hashes that goes to the executors: 4 MB, whatever the number of hashes.
+FILTER_BITS = 25
 SHINGLE_WORDS = 5
 
 _U = np.uint64
@@ -45,6 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session held to BATCH_BYTES: texts may be long, rows say nothing of memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -168,3 +178,18 @@ def with_schema(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
         arrays.append(v)
         names.append(k)
     return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of the slots of a column of hashes: a filter without false negatives, of a size that does not grow."""
+    p = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bits = keys.select(p.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[bits.column("w").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each hash."""
+    p = keys.view(np.int64) & ((1 << FILTER_BITS) - 1)
+    return (bits[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) == 1

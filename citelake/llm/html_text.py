@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from citelake.llm.bpe import _renamed
-from citelake.llm.common import fresh_name
+from citelake.llm.common import bounded_batches, fresh_name
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,4 +370,4 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
                 made = pa.array([to_text(x.as_py()) for x in part.column(k)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, tmp])
 
-    return _renamed(pages.mapInArrow(run, schema), pages, tmp, out)
+    return _renamed(bounded_batches(pages).mapInArrow(run, schema), pages, tmp, out)

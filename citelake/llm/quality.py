@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import chunks, cut, fresh_name, mix, prefix_hash, shingles, text_buffer, word_hashes, words
+from citelake.llm.common import bounded_batches, chunks, cut, fresh_name, mix, prefix_hash, shingles, text_buffer, word_hashes, words
 from citelake.llm.labels import fold, one_per_id
 
 FOLDS = 3
@@ -115,7 +115,7 @@ def featurise(docs: DataFrame, text_col: str = "text", out: str = "stats") -> Da
             made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], made], names=[*rest, tmp])
 
-    return docs.mapInArrow(run, schema).withColumnRenamed(tmp, out)
+    return bounded_batches(docs).mapInArrow(run, schema).withColumnRenamed(tmp, out)
 
 
 def train(rows: DataFrame, shrinkage: float = SHRINKAGE) -> Model:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelake.llm.bpe import _renamed
-from citelake.llm.common import chunks, fresh_name, text_buffer
+from citelake.llm.common import bounded_batches, chunks, fresh_name, text_buffer
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out: str =
                 n[i:j] = pieces.counts([t or "" for t in texts.slice(i, j - i).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, tmp])
 
-    return _renamed(docs.mapInArrow(run, schema), docs, tmp, out)
+    return _renamed(bounded_batches(docs).mapInArrow(run, schema), docs, tmp, out)
 
 
 def budgeted(docs: DataFrame, path: str, limit: int = 4096, text_col: str = "text") -> DataFrame:
