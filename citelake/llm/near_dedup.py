@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import chunks, cut, mix, shingles, signed, text_buffer
+from citelake.llm.common import bitmap, bounded_batches, chunks, cut, marked, mix, shingles, signed, text_buffer
 from citelake.llm.components import components
 
 #: Partial keys in each of the two collections, and minhashes in a partial key.
@@ -38,8 +38,6 @@ M, PER_KEY = 24, 4
 SIMILARITY = 75  # per cent
 #: Bytes of unsettled shingle sets up to which an index of them is broadcast.
 PROBE_BYTES = 32 << 20
-#: Bits of the filter that spares texts without any shared table the second pass: 1 MB, whatever the input.
-FILTER_BITS = 23
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -78,13 +76,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * M, pa.int32()), pa.array(signed(keys[:, c : c + M].ravel()))) for c in (0, M)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *(pa.array(signed(t[at[1:]] - t[at[:-1]])) for t in total), *lists], names=["id", "n", "f1", "f2", "a", "b"])
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n, second) of every partial key that several classes have; second: of the second collection."""
-    keys = classes.select("id", "n", F.posexplode(F.concat("a", "b")).alias("pos", "key")).select("key", "id", "n", (F.col("pos") >= M).alias("second"))
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
+def shared_keys(made: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, id, n, second) of every partial key that several classes have; second: of the second collection.
+
+    Keys are counted first; a filter of the shared ones then drops the others before anything else is shuffled.
+    """
+    full = made.where("n > 0")
+    shared = cut(full.select(F.explode(F.concat("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    bits = made.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("f1", "f2", "n", "key")), T.StructField("second", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.column_stack([batch.column(k).flatten().to_numpy().reshape(-1, M) for k in (3, 4)]) if batch.num_rows else np.zeros((0, 2 * M), np.int64)
+            row, pos = np.nonzero(marked(bits.value, np.ascontiguousarray(keys).ravel()).reshape(keys.shape))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(keys[row, pos]), pa.array(pos >= M)], names=schema.names)
+
+    live = full.select("f1", "f2", "n", "a", "b").mapInArrow(run, schema).distinct().join(shared, "key", "left_semi")
+    keys = cut(live.join(groups.where("rep IS NOT NULL"), ["f1", "f2", "n"]).select("key", F.col("rep").alias("id"), "n", "second"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi")
 
 
 def tables(keys: DataFrame) -> DataFrame:
@@ -105,24 +119,19 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, s): the shingle set, as bytes, of every text that is a member of a table."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bits = members.select(slot("id").alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
-    marked = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-    marked[bits.column("w").to_numpy()] = bits.column("bits").to_numpy()
-    marked = marked.astype(np.uint32)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), slot(id_col).alias("p")).where("id IS NOT NULL")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(F.xxhash64("id").alias("p")), "p"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("p")).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((marked[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
+            batch = batch.filter(pa.array(marked(bits.value, batch.column(2).to_numpy())))
             data, offsets = text_buffer(batch.column(1))
             for i, j in chunks(offsets):
                 sets, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(at * 8)), pa.py_buffer(sets.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), made.cast(pa.binary())], names=["id", "s"])
 
-    made = rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("s", T.BinaryType())]))
+    made = bounded_batches(rows).mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("s", T.BinaryType())]))
     return made.join(members.select("id").distinct(), "id", "left_semi")
 
 
@@ -144,9 +153,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, T.StructType([pairs.schema["x"], pairs.schema["y"]])).distinct()
 
 
-def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of every class that is linked with another."""
-    keys = cut(shared_keys(classes))
+    keys = cut(shared_keys(made, groups))
     weight = keys.groupBy("id").agg(F.count("*").alias("w"))
     best = F.max(F.struct("w", F.xxhash64("id").alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
     pivots = keys.join(weight, "id").groupBy("key").agg(best).select("key", "p.pivot", "p.pivot_n")
@@ -236,9 +245,8 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per document: doc_id, n_shingles, component_id, kept."""
     made = cut(signatures(docs, id_col, text_col))
     full = made.where("n > 0")
-    groups = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
-    groups = cut(groups)
-    labels = link(groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n", "a", "b"), docs, id_col, text_col)
+    groups = cut(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
+    labels = link(made, groups, docs, id_col, text_col)
     owners = groups.select("f1", "f2", "n", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     joined = full.select("id", "n", "f1", "f2").join(owners, ["f1", "f2", "n"]).select("id", "n", "component_id")
     alone = made.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import chunks, cut, mix, prefix_hash, signed, text_buffer
+from citelake.llm.common import bitmap, bounded_batches, chunks, cut, marked, mix, prefix_hash, signed, text_buffer
 
 LENGTH = 200
 GRAM = 48
@@ -39,8 +39,6 @@ RUN = 160
 #: Bytes of contexts that the kernel takes at once, and bytes in a shard: small, since each pass should stay in cache.
 BLOCK_BYTES, SHARD_BYTES = 256 << 10, 160 << 10
 HOT_CONTEXTS = 1024
-#: Bits of the filter of repeated hashes and of touched documents: 4 MB, whatever the input.
-FILTER_BITS = 25
 
 _U = np.uint64
 
@@ -180,20 +178,6 @@ def repeated_starts(strings: list[bytes], starts: list[int], length: int = LENGT
     return [flags[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of the slots of a long column; its size does not depend on the number of keys."""
-    p = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = keys.select(p.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[bits.column("w").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = keys.view(np.int64) & ((1 << FILTER_BITS) - 1)
-    return (bits[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) == 1
-
-
 def _spread(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -209,7 +193,7 @@ def repeated_hashes(rows: DataFrame) -> DataFrame:
                 value, n = np.unique(np.concatenate([h, h[inner]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(n)], names=["h", "n"])
 
-    return rows.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return bounded_batches(rows).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def occurrences(rows: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -223,7 +207,7 @@ def occurrences(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             for i, j in chunks(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 h, text, p, m, inner, total, inverse = fragments(part, at)
-                keep = _marked(shared.value, h)
+                keep = marked(shared.value, h)
                 h, text, p, m, inner = h[keep], text[keep], p[keep], m[keep], inner[keep]
                 stop = p + m + LENGTH - 1
                 c = mix((total[stop] - total[p]) * inverse[p] + _U(1) * m.astype(np.uint64))
@@ -234,7 +218,7 @@ def occurrences(rows: DataFrame, bits: np.ndarray) -> DataFrame:
                     pa.array(p - at[text]), pa.array(m), pa.array(inner), pa.array([raw[a:b] for a, b in zip(p.tolist(), stop.tolist(), strict=True)], pa.binary()),
                 ], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -282,7 +266,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, t, spans): the byte ranges array<struct<a, b>> that repeated strings cover, of each text that has any."""
     rows = _spread(docs, id_col, text_col)
     hashes = cut(repeated_hashes(rows))
-    found = occurrences(rows, _bitmap(hashes, "h")).join(hashes, "h", "left_semi")
+    found = occurrences(rows, bitmap(hashes, "h")).join(hashes, "h", "left_semi")
     contexts = cut(found.groupBy("h", "c").agg(F.first("s").alias("s"), F.first("m").alias("m"), F.first("inner").alias("inner"), F.count("*").alias("n")))
     places = found.select("h", "c", "id", "t", "p")
     groups = contexts.groupBy("h").agg(F.count("*").alias("contexts"))
@@ -310,9 +294,9 @@ def text_hash(rows: DataFrame, touched: np.ndarray | None = None) -> DataFrame:
                 at = offsets[i : j + 1] - offsets[i]
                 total, inverse = prefix_hash(data[offsets[i] : offsets[j]])
                 t = mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(signed(t)), pa.array(_marked(shared.value, t))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(signed(t)), pa.array(marked(shared.value, t))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +320,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, kept (the remaining bytes), n_bytes, n_removed, n_spans."""
     rows = _spread(docs, id_col, text_col)
     spans = cut(repeats(docs, id_col, text_col))
-    marked = text_hash(rows, _bitmap(spans, "t"))
+    told = text_hash(rows, bitmap(spans, "t"))
     schema = T.StructType([rows.schema["id"], T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
-    hit = marked.where("touched").alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id AND d.t = s.t"), "left").select("d.id", "d.text", "s.spans")
+    hit = told.where("touched").alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id AND d.t = s.t"), "left").select("d.id", "d.text", "s.spans")
     none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    return hit.unionByName(marked.where("NOT touched").select("id", "text", none)).mapInArrow(_strip, schema)
+    return hit.unionByName(told.where("NOT touched").select("id", "text", none)).mapInArrow(_strip, schema)
