@@ -30,8 +30,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE[_SPACE] = 0
-_LOWER_BYTE = _BYTE[_LOWER]
+_LOWER_BYTE = _BYTE[_LOWER]  # of words: white space adds nothing
+_LOWER_BYTE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _MIX = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * _U(2) + _U(1)
