@@ -120,11 +120,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     mention = rows.select("row", F.explode("near").alias("m")).select("row", "m.*")
     sides = F.concat(matches(F.lower("left"), TERM, F.col("start") - F.length("left")), matches(F.lower("right"), TERM, F.col("end")))
     seen = cut(mention.select("row", "entity", F.explode(sides).alias("t")).select("row", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
-    joint = cut(seen.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_joint))
-    entity = mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_joint)
-    term = _frequencies(text, joint.select("term").distinct())
+    entity = cut(mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_joint))
+    # a term is in at least as many documents as near entities; pairs that this already rules out need no corpus count
+    near_any = seen.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df") * F.col("de")))
-    disclosing = joint.join(entity, "entity").join(term, "term").where(pmi >= alpha * F.log2(F.lit(float(n)) / F.col("de"))).select("entity", "term")
+    discloses = pmi >= alpha * F.log2(F.lit(float(n)) / F.col("de"))
+    both = seen.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_joint)
+    joint = cut(both.join(entity, "entity").join(near_any, "term").where(discloses).select("entity", "term", "both", "de"))
+    term = _frequencies(text, joint.select("term").distinct())
+    disclosing = joint.join(term, "term").where(discloses).select("entity", "term")
     added = seen.join(disclosing, ["entity", "term"]).select("row", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), F.col("term").alias("value")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("terms"))
     clear = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return rows.join(added, "row", "left").select("doc_id", "base", F.array_sort(clear).alias("terms"))
