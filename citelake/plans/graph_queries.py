@@ -425,3 +425,11 @@ def _run(spark: SparkSession, folder: str) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+@graph("i12_reading_order")
+def _(g):
+    from citelake.operators.reading import reading_path
+
+    scores = g.papers.where(read.not_stub()).join(read.in_degree(g), "id").select("id", "year", F.col("in_degree").alias("score"))
+    return reading_path(scores, g.cites, 20)
