@@ -32,7 +32,7 @@ PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: A space before white space or at the end, where a text can't simply be cut at its spaces.
 _UNCUT = re.compile(r" (?=\s|$)")
 #: Pieces of text between spaces that a worker remembers before it starts afresh.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Judged pairs that a worker remembers before it starts afresh.
 CACHE_PAIRS = 2_000_000
 
