@@ -8,9 +8,10 @@ a table, so only the few that are shared are ever combined.
 Texts with equal shingle sets are one class, told by a 128-bit digest of the set, and only classes are linked. A table's
 members are not all paired. First the holders of a partial key are each compared with one pivot, the one that shares the
 most keys, since the origin of a group of near copies shares more than they do among themselves. Keys whose holders are
-now one component are settled. Only the others are combined into tables; members of tables that still hold several
-components are compared across components: through an inverted index of their sets while these are at most PROBE_BYTES,
-else where a prefix filter, which is exact too, allows a similarity.
+now one component are settled. Only the others are combined into tables. A member of a table that still holds several
+components can be similar to one of another component only if enough of its shingles occur in several; those with fewer
+end there. The rest are compared across components: through an inverted index of their sets while these are at most
+PROBE_BYTES, else where a prefix filter, which is exact too, allows a similarity.
 Every comparison counts exact intersections of the full sets, so no link between different texts is lost to the way
 pairs are chosen.
 
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,8 @@ M, PER_KEY = 24, 4
 SIMILARITY = 75  # per cent
 #: Bytes of unsettled shingle sets up to which an index of them is broadcast.
 PROBE_BYTES = 32 << 20
+#: Shingles in the head of a set beyond the fewest of which similar sets must share one.
+MEETINGS = 8
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -165,11 +169,11 @@ def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_
     links = cut(verify(tested, sets))
     labels = cut(components(links, "x", "y"))
     rest = cut(_open(tables(_open(keys, labels, "key").select("key", "id", "n", "second")), labels, "k").select("id", "n", "c").distinct())
-    rest = cut(rest.join(sets, "id"))
+    rest, shared, bits = crossing(cut(rest.join(sets, "id")))
     if (rest.agg(F.sum(F.length("s"))).first()[0] or 0) <= PROBE_BYTES:
         found = cut(probe(rest))
     else:
-        found = cut(verify(prefix_pairs(rest).join(tested, ["x", "y"], "left_anti"), sets))
+        found = cut(verify(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"), rest))
     return components(cut(links.unionByName(found)), "x", "y") if found.take(1) else labels
 
 
@@ -207,32 +211,62 @@ def probe(rest: DataFrame) -> DataFrame:
     return rest.select("id", "c", "s").repartition(4 * parts, "id").mapInArrow(run, T.StructType([T.StructField(k, rest.schema["id"].dataType) for k in ("x", "y")])).distinct()
 
 
-def prefix_pairs(rest: DataFrame) -> DataFrame:
-    """(x, y) of different components that may be similar: exact, without pairing the members of a table.
-
-    With shingles ordered from rare to common, two sets of the similarity must meet among the first
-    n - ceil(n * SIMILARITY / 100) + 1 of each. What very many texts share comes last and pairs nobody.
-    """
-    schema = T.StructType([*(rest.schema[c] for c in ("id", "n", "c")), T.StructField("s", T.LongType())])
+def _said(rest: DataFrame, names: tuple[str, ...], bits: Broadcast | None = None) -> DataFrame:
+    """A row (names, s) for each shingle of each set, or each that the filter may hold."""
+    schema = T.StructType([*(rest.schema[c] for c in names), T.StructField("s", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(len(names))]
+                own = own if bits is None else [x[marked(bits.value, x)] for x in own]
                 at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(3)), pa.array(np.concatenate(own))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(names))), pa.array(np.concatenate(own))], names=schema.names)
+
+    return rest.select(*names, "s").mapInArrow(run, schema)
+
+
+def crossing(rest: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """The sets that may be similar to one of another component, (s, often) of shingles in several components, and a
+    filter of these: exact, from counts of shingles alone.
+
+    Similar sets share SIMILARITY per cent of each, so as many shingles of a set must occur in several components. Texts
+    that have only a passage in common end here, before any is compared.
+    """
+    counts = _said(rest, ("c",)).groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("often"))
+    shared = cut(counts.where("lo <> hi").select("s", "often"))
+    bits = rest.sparkSession.sparkContext.broadcast(bitmap(shared, "s"))
+    k = rest.columns.index("s")
 
-    said = rest.select("id", "n", "c", "s").mapInArrow(run, schema)
-    often = said.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
-    # shingles of one text alone come first in every order: their number is what is missing from the shared ones
-    shared = said.join(often, "s")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = (np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(k))
+            ok = [100 * int(np.count_nonzero(marked(bits.value, h))) >= SIMILARITY * len(h) for h in own]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return cut(rest.mapInArrow(run, rest.schema)), shared, bits
+
+
+def prefix_pairs(rest: DataFrame, shared: DataFrame, bits: Broadcast) -> DataFrame:
+    """(x, y) of different components that may be similar: exact, without pairing the members of a table.
+
+    With shingles ordered from rare to common, the head of a set is its first n - ceil(n * SIMILARITY / 100) + t. What
+    two sets share outside both heads lies behind the head of one of them, so heads must meet as often as the similarity
+    needs beyond that. What very many texts share comes last and pairs nobody.
+    """
     turn = Window.partitionBy("id").orderBy("often", "s")
+    # shingles of one component alone come first in every order: their number is what is missing from the shared ones
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
-    heads = cut(shared.withColumn("r", F.row_number().over(turn) + alone).where(F.col("r") <= prefix).select("id", "n", "c", "s"))
-    other = heads.select("s", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-    return heads.join(other, "s").where((F.col("id") < F.col("p")) & (F.col("c") != F.col("pc")) & _may_link(F.col("n"), F.col("pn"))).select(*_ordered(F.col("id"), F.col("p"))).distinct()
+    least = F.ceil(F.col("n") * SIMILARITY / 100)
+    ranked = _said(rest, ("id", "n", "c"), bits).join(shared, "s").withColumn("r", F.row_number().over(turn) + alone)
+    ranked = ranked.withColumn("tail", least - F.least(F.lit(MEETINGS), least))
+    heads = cut(ranked.where(F.col("r") <= F.col("n") - F.col("tail")).select("id", "n", "c", "tail", "s"))
+    other = heads.select("s", *(F.col(k).alias(f"o_{k}") for k in ("id", "n", "c", "tail")))
+    met = heads.join(other, "s").where((F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & _may_link(F.col("n"), F.col("o_n")))
+    needed = F.ceil((F.col("n") + F.col("o_n")) * SIMILARITY / (100 + SIMILARITY)) - F.greatest("tail", "o_tail")
+    met = met.groupBy(F.col("id").alias("x"), F.col("o_id").alias("y")).agg(F.count("*").alias("met"), F.max(needed).alias("needed"))
+    return met.where("met >= needed").select("x", "y")
 
 
 def _open(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:

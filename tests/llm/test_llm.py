@@ -112,7 +112,8 @@ def test_probe_and_prefix_agree(spark):
         rows.append((i, len(s), i, bytearray(s.tobytes())))
     rest = spark.createDataFrame(rows, "id bigint, n bigint, c bigint, s binary")
     by_index = {tuple(r) for r in near_dedup.probe(rest).collect()}
-    by_prefix = {tuple(r) for r in near_dedup.verify(near_dedup.prefix_pairs(rest), rest.select("id", "s")).collect()}
+    crossed, shared, bits = near_dedup.crossing(rest)
+    by_prefix = {tuple(r) for r in near_dedup.verify(near_dedup.prefix_pairs(crossed, shared, bits), crossed).collect()}
     assert by_index == by_prefix and by_index
 
 
