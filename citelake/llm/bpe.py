@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citelake.llm.common import bounded_batches, chunks, fresh_name, text_buffer
+from citelake.llm.common import bounded_batches, chunks, fresh_name, text_buffer, tidy
 
 # Fixed value: the pre-token pattern of the ByteLevel pre-tokenizer.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token
                 made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, made], names=[*batch.schema.names, tmp])
 
-    return _renamed(bounded_batches(docs).mapInArrow(run, schema), docs, tmp, out)
+    return _renamed(bounded_batches(docs).mapInArrow(tidy(run), schema), docs, tmp, out)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -231,7 +231,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "d
                 made = bpe.decode(ids[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, made.cast(pa.string())], names=[*batch.schema.names, tmp])
 
-    return _renamed(bounded_batches(docs).mapInArrow(run, schema), docs, tmp, out)
+    return _renamed(bounded_batches(docs).mapInArrow(tidy(run), schema), docs, tmp, out)
 
 
 def _renamed(made: DataFrame, docs: DataFrame, tmp: str, out: str) -> DataFrame:

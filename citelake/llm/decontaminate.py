@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import bounded_batches, chunks, mix, shingles, text_buffer
+from citelake.llm.common import bounded_batches, chunks, mix, shingles, text_buffer, tidy
 
 THRESHOLD = 0.75
 #: Chance of missing an item at the threshold's containment.
@@ -130,7 +130,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_c
                         ids = batch.column(0).take(pa.array([i + t for t, *_ in hits]))
                         yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for _, k, _, _ in hits]).cast(pa.int64() if isinstance(index.ids[0], int) else pa.string()), pa.array([n for _, _, n, _ in hits], pa.int64()), pa.array([s for *_, s in hits], pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-        part = bounded_batches(rows).mapInArrow(run, schema)
+        part = bounded_batches(rows).mapInArrow(tidy(run), schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
@@ -149,5 +149,5 @@ def keep(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_c
                         clean[i + t] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(tidy(run), docs.schema)
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import bitmap, bounded_batches, chunks, cut, marked, mix, shingles, signed, text_buffer
+from citelake.llm.common import bitmap, bounded_batches, chunks, cut, marked, mix, shingles, signed, text_buffer, tidy
 from citelake.llm.components import components
 
 #: Partial keys in each of the two collections, and minhashes in a partial key.
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * M, pa.int32()), pa.array(signed(keys[:, c : c + M].ravel()))) for c in (0, M)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *(pa.array(signed(t[at[1:]] - t[at[:-1]])) for t in total), *lists], names=["id", "n", "f1", "f2", "a", "b"])
 
-    return bounded_batches(rows).mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(tidy(run), schema)
 
 
 def shared_keys(made: DataFrame, groups: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def shared_keys(made: DataFrame, groups: DataFrame) -> DataFrame:
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(keys[row, pos]), pa.array(pos >= M)], names=schema.names)
 
-    live = full.select("f1", "f2", "n", "a", "b").mapInArrow(run, schema).distinct().join(shared, "key", "left_semi")
+    live = full.select("f1", "f2", "n", "a", "b").mapInArrow(tidy(run), schema).distinct().join(shared, "key", "left_semi")
     keys = cut(live.join(groups.where("rep IS NOT NULL"), ["f1", "f2", "n"]).select("key", F.col("rep").alias("id"), "n", "second"))
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi")
 
@@ -135,7 +135,7 @@ def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(at * 8)), pa.py_buffer(sets.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), made.cast(pa.binary())], names=["id", "s"])
 
-    made = bounded_batches(rows).mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("s", T.BinaryType())]))
+    made = bounded_batches(rows).mapInArrow(tidy(run), T.StructType([rows.schema["id"], T.StructField("s", T.BinaryType())]))
     return made.join(members.select("id").distinct(), "id", "left_semi")
 
 
@@ -154,7 +154,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * same >= SIMILARITY * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, T.StructType([pairs.schema["x"], pairs.schema["y"]])).distinct()
+    return both.mapInArrow(tidy(run), T.StructType([pairs.schema["x"], pairs.schema["y"]])).distinct()
 
 
 def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,7 +208,7 @@ def probe(rest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(0).type), pa.array(y, batch.schema.field(0).type)], names=["x", "y"])
 
     parts = max(rest.sparkSession.sparkContext.defaultParallelism, 1)
-    return rest.select("id", "c", "s").repartition(4 * parts, "id").mapInArrow(run, T.StructType([T.StructField(k, rest.schema["id"].dataType) for k in ("x", "y")])).distinct()
+    return rest.select("id", "c", "s").repartition(4 * parts, "id").mapInArrow(tidy(run), T.StructType([T.StructField(k, rest.schema["id"].dataType) for k in ("x", "y")])).distinct()
 
 
 def _said(rest: DataFrame, names: tuple[str, ...], bits: Broadcast | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def _said(rest: DataFrame, names: tuple[str, ...], bits: Broadcast | None = None
                 at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(names))), pa.array(np.concatenate(own))], names=schema.names)
 
-    return rest.select(*names, "s").mapInArrow(run, schema)
+    return rest.select(*names, "s").mapInArrow(tidy(run), schema)
 
 
 def crossing(rest: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
@@ -245,7 +245,7 @@ def crossing(rest: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
             ok = [100 * int(np.count_nonzero(marked(bits.value, h))) >= SIMILARITY * len(h) for h in own]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return cut(rest.mapInArrow(run, rest.schema)), shared, bits
+    return cut(rest.mapInArrow(tidy(run), rest.schema)), shared, bits
 
 
 def prefix_pairs(rest: DataFrame, shared: DataFrame, bits: Broadcast) -> DataFrame:

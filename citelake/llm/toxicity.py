@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import _LOWER, bounded_batches, chunks, cut, fresh_name, mix, prefix_hash, text_buffer, words
+from citelake.llm.common import _LOWER, bounded_batches, chunks, cut, fresh_name, mix, prefix_hash, text_buffer, tidy, words
 from citelake.llm.labels import fold, one_per_id
 
 #: Labelled documents that a model is fitted on at most: those with the smallest hash of their id.
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 s[i:j] = m.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, tmp])
 
-    made = bounded_batches(docs).mapInArrow(run, schema)
+    made = bounded_batches(docs).mapInArrow(tidy(run), schema)
     return made.drop(*[c for c in docs.columns if c == out]).withColumnRenamed(tmp, out)
 
 
