@@ -139,6 +139,19 @@ def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     return made.join(members.select("id").distinct(), "id", "left_semi")
 
 
+def named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, s) of the sets that a pair may name: the others are dropped by a filter of ids before a shuffle."""
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).select(F.xxhash64("id").alias("p"))
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap(ids, "p"))
+    rows = sets.select("id", "s", F.xxhash64("id").alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(bits.value, batch.column(2).to_numpy()), pa.bool_())).select([0, 1])
+
+    return rows.mapInArrow(tidy(run), T.StructType(rows.schema.fields[:2]))
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets reach the similarity."""
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y").select("x", "y", "sx", "sy")
@@ -173,7 +186,8 @@ def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_
     if (rest.agg(F.sum(F.length("s"))).first()[0] or 0) <= PROBE_BYTES:
         found = cut(probe(rest))
     else:
-        found = cut(verify(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"), rest))
+        pairs = cut(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"))
+        found = cut(verify(pairs, named(rest, pairs)))
     return components(cut(links.unionByName(found)), "x", "y") if found.take(1) else labels
 
 

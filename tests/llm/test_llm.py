@@ -113,7 +113,8 @@ def test_probe_and_prefix_agree(spark):
     rest = spark.createDataFrame(rows, "id bigint, n bigint, c bigint, s binary")
     by_index = {tuple(r) for r in near_dedup.probe(rest).collect()}
     crossed, shared, bits = near_dedup.crossing(rest)
-    by_prefix = {tuple(r) for r in near_dedup.verify(near_dedup.prefix_pairs(crossed, shared, bits), crossed).collect()}
+    pairs = near_dedup.prefix_pairs(crossed, shared, bits)
+    by_prefix = {tuple(r) for r in near_dedup.verify(pairs, near_dedup.named(crossed, pairs)).collect()}
     assert by_index == by_prefix and by_index
 
 
