@@ -1,13 +1,14 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Patterns find the protected entities (e-mail, IP, card and phone numbers). Corpus co-occurrence then estimates how
-strongly the terms near an entity reveal it: with document frequencies over all N texts, a term t discloses an entity e
-when PMI(t, e) = log2(N df(t, e) / (df(t) df(e))) reaches ALPHA times the entity's information content log2(N / df(e)),
-seen in at least MIN_JOINT documents. Disclosing terms become spans of kind ``term``; ``sanitize`` generalises entities
-and terms to their kind.
+strongly the terms of a text reveal an entity in it: with document frequencies over all N whole texts, a term t
+discloses an entity e when PMI(t, e) = log2(N df(t, e) / (df(t) df(e))) reaches ALPHA times the entity's information
+content log2(N / df(e)), seen in at least MIN_JOINT documents. In the documents that hold the entity every occurrence of
+a disclosing term outside entities becomes a span of kind ``term``; ``sanitize`` generalises entities and terms to their
+kind.
 
-Offsets count code points, ends are exclusive. Terms are runs of four or more letters between white space and white
-space or punctuation, lower-cased, at most REACH characters from the entity.
+Offsets count code points, ends are exclusive. Terms are runs of four or more letters between white space or the start
+of the text and white space, punctuation or its end, lower-cased.
 
 Defined results: a null or empty text has no spans and hash of the empty string; rows that repeat an id are counted and
 returned each; null ids stay; digit runs, separators or names of any length are matched without recursion; extra
@@ -30,20 +31,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-TERM = r"(?<=\s)\p{L}{4,}(?=[\s.,;:!?])"
-REACH = 64
+TERM_START, TERM_END = r"(?<!\S)", r"(?![^\s.,;:!?])"
+TERM = rf"{TERM_START}\p{{L}}{{4,}}+{TERM_END}"
 ALPHA = 0.9
 MIN_JOINT = 3
-#: Slots of the filter that spares words that are no candidate terms the shuffle: 1 MB, whatever the input.
-FILTER_SLOTS = 1 << 20
 
 
-def matches(text: Column, pattern: str, offset: Column | int = 0) -> Column:
+def matches(text: Column, pattern: Column | str) -> Column:
     """array<struct<start, end, value>> of all matches, from the lengths of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    offset = F.lit(offset) if isinstance(offset, int) else offset
-    start = F.struct(offset.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("all"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["gap"])
@@ -96,42 +95,48 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _frequencies(text: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, df) over all texts for the candidate terms; other words are dropped before they are exploded."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
-    marks = bytearray(FILTER_SLOTS)
-    for r in candidates.select(slot("term").alias("p")).distinct().toLocalIterator():
-        marks[r["p"]] = 1
-    held = F.lit(bytes(marks))
-    said = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
-    known = F.array_distinct(F.filter(said, lambda w: F.substring(held, slot(w) + 1, F.lit(1)) == F.lit(b"\x01")))
-    return text.select(F.explode(known).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(candidates, "term", "left_semi")
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _lowered(terms: Column) -> Column:
+    return F.array_distinct(F.transform(terms, F.lower))
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Every occurrence in a text of the given terms, in any case."""
+    written = F.filter(_terms(text), lambda w: F.array_contains(terms, F.lower(w)))
+    pattern = F.concat(F.lit(f"{TERM_START}(?:"), F.array_join(written, "|"), F.lit(f"){TERM_END}"))
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), F.lower(m["value"]).alias("value")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_joint: int = MIN_JOINT) -> DataFrame:
     """One row per document: doc_id, base and terms, arrays of struct<start, rank, end, kind, value>."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    near = lambda s: F.struct(
-        F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"),
-        F.substring("text", F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))).alias("left"), F.substring("text", s["end"] + 1, F.lit(REACH)).alias("right"),
-    )
-    rows = cut(text.withColumn("base", base_spans(F.col("text"))).select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.transform("base", near).alias("near")))
+    based = text.withColumn("base", base_spans(F.col("text")))
+    # texts without an entity can have no spans of terms and stay behind
+    rows = cut(based.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
     n = rows.count()
-    mention = rows.select("row", F.explode("near").alias("m")).select("row", "m.*")
-    sides = F.concat(matches(F.lower("left"), TERM, F.col("start") - F.length("left")), matches(F.lower("right"), TERM, F.col("end")))
-    seen = cut(mention.select("row", "entity", F.explode(sides).alias("t")).select("row", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
-    entity = cut(mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_joint))
-    # a term is in at least as many documents as near entities; pairs that this already rules out need no corpus count
-    near_any = seen.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df") * F.col("de")))
-    discloses = pmi >= alpha * F.log2(F.lit(float(n)) / F.col("de"))
-    both = seen.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_joint)
-    joint = cut(both.join(entity, "entity").join(near_any, "term").where(discloses).select("entity", "term", "both", "de"))
-    term = _frequencies(text, joint.select("term").distinct())
-    disclosing = joint.join(term, "term").where(discloses).select("entity", "term")
-    added = seen.join(disclosing, ["entity", "term"]).select("row", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), F.col("term").alias("value")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("terms"))
+    named = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    mention = rows.select("row", F.explode(named).alias("entity"))
+    entity = cut(mention.groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_joint))
+    most = entity.agg(F.max("de")).first()[0] or 0
+    mention = cut(mention.join(entity, "entity"))
+    pmi = lambda both: F.log2(F.lit(float(n)) * both / (F.col("df") * F.col("de")))
+    least = alpha * F.log2(F.lit(float(n)) / F.col("de"))
+    # a term is in a joint count at most df and at most de times: what no entity's bound lets through goes before the pairs
+    bound = max(most, most**alpha * n ** (1 - alpha) * (1 + 1e-9))
+    df = text.select(F.explode(_lowered(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_joint) & (F.col("df") <= bound))
+    said = rows.join(mention.select("row").distinct(), "row", "left_semi").select("row", F.explode(_lowered(_terms(F.col("text")))).alias("term"))
+    said = cut(said.join(df, "term"))
+    pairs = said.join(mention, "row").where(pmi(F.least("df", "de")) >= least)
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df").alias("df"), F.first("de").alias("de"))
+    disclosing = joint.where((F.col("both") >= min_joint) & (pmi(F.col("both")) >= least)).select("entity", "term")
+    told = pairs.join(disclosing, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
+    added = rows.join(told, "row").select("row", _term_spans(F.col("text"), F.col("told")).alias("terms"))
     clear = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return rows.join(added, "row", "left").select("doc_id", "base", F.array_sort(clear).alias("terms"))
+    return rows.drop("text").join(added, "row", "left").select("doc_id", "base", F.array_sort(clear).alias("terms"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

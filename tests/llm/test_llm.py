@@ -184,6 +184,17 @@ def test_pii_disclosing_terms(spark):
     assert all("term:" in s for s in got[:4]) and not any(got[4:])
 
 
+def test_pii_terms_of_whole_texts(spark):
+    far = " ".join(["padding"] * 40)
+    texts = [f"Quentinson writes no{i} {far} boss@corp.example {far} and QUENTINSON" for i in range(4)] + [f"plain padding text{i} writes here and" for i in range(40)]
+    docs = _docs(spark, texts)
+    got = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in pii.find(docs).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == ([(0, 10), (len(t) - 10, len(t))] if k < 4 else [])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitize(docs, pii.find(docs)).collect()}
+    assert clean[0].startswith("[TERM] writes") and clean[0].endswith("and [TERM]")
+
+
 def test_classifiers_hold_out(spark):
     rng = random.Random(1)
     texts, toxic, good = [], [], []
