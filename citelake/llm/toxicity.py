@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of hash buckets of its terms: lower-cased words and their beginnings of 4 to 6 bytes. On a
-bounded sample of labelled documents the buckets whose share differs between the classes beyond chance are chosen, and
-a factorization machine is fitted on them: a bias, a weight for each bucket and a low-rank weight for each pair of
-buckets, so that terms that are harmless alone can count together.
+sample of labelled documents a factorization machine is fitted on all buckets that occur in it: a bias, a weight for
+each bucket and a low-rank weight for each pair of buckets, so that terms that are harmless alone can count together.
+A bucket that the sample does not hold has no weight.
 
 Defined results: a null or empty text scores the bias; without labelled rows of both classes every score is the prior
 (0 without any rows); a null id is held out by no fold (held_out null); rows and extra columns pass through ``keep``.
@@ -25,11 +25,12 @@ from citelake.llm.labels import fold, one_per_id
 
 #: Labelled documents that a model is fitted on at most: those with the smallest hash of their id.
 MAX_TRAIN_ROWS = 20_000
-#: Hash buckets of terms, and buckets that a model may keep.
-BUCKET_BITS, MAX_BUCKETS = 20, 4096
-#: Standard deviations by which a bucket's share must differ between the classes.
+#: Hash buckets of terms.
+BUCKET_BITS = 20
+#: Standard deviations by which the share of a bucket differs between the classes if it is fitted first.
 MIN_Z = 5.0
-FACTORS, STEPS, RATE, L2 = 8, 200, 0.05, 1e-4
+#: Passes over the sample, and mini-batches at least; DAMP and HOLD hold back steps of buckets with few gradients so far.
+FACTORS, EPOCHS, MIN_STEPS, BATCH, RATE, DAMP, HOLD, L2 = 8, 6, 1000, 256, 0.3, 1.0, 3.0, 1e-4
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 
@@ -65,55 +66,80 @@ def _distinct(ids: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @dataclass
 class Model:
     bias: float
-    slot: np.ndarray  # of each bucket: its row of the weights, or -1
-    weight: np.ndarray
-    factor: np.ndarray
+    slot: np.ndarray  # of each bucket: its row of the parameters, or -1
+    params: np.ndarray  # a row for each bucket seen: its weight, then its factors
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        ids, owner = buckets(data, offsets)
+        ids, owner = _distinct(*buckets(data, offsets))
         slot = self.slot[ids]
         kept = slot >= 0
-        keys = np.unique(owner[kept] * np.int64(max(len(self.weight), 1)) + slot[kept])
-        owner, slot = np.divmod(keys, max(len(self.weight), 1))
-        return _sigmoid(_raw(self.bias, self.weight, self.factor, slot, owner, n)[0])
+        z = np.full(n, self.bias)
+        if kept.any():
+            texts, start = np.unique(owner[kept], return_index=True)
+            z[texts] += _raw(self.params[slot[kept]], start)[0]
+        return _sigmoid(z)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _raw(bias: float, w: np.ndarray, v: np.ndarray, slot: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = bias + np.bincount(owner, w[slot], n)
-    sums = np.empty((n, v.shape[1]))
-    for f in range(v.shape[1]):
-        x = v[slot, f]
-        sums[:, f] = np.bincount(owner, x, n)
-        out += 0.5 * (sums[:, f] ** 2 - np.bincount(owner, x * x, n))
-    return out, sums
+def _raw(rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and pairs of each text, and its sums of factors, from the parameters of its buckets; no text is empty."""
+    sums = np.add.reduceat(rows, start, axis=0)
+    squares = np.add.reduceat(np.einsum("ij,ij->i", rows[:, 1:], rows[:, 1:]), start)
+    return sums[:, 0] + 0.5 * (np.einsum("ij,ij->i", sums[:, 1:], sums[:, 1:]) - squares), sums
 
 
-def _fit(slot: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss, full batches, Adam."""
-    n, rng = len(y), np.random.Generator(np.random.PCG64(5))
+def _fit(slot: np.ndarray, at: np.ndarray, y: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Bias and parameters of all buckets. slot: of text k from at[k] to at[k + 1].
+
+    Buckets that tell the classes apart alone are fitted first, as each text has many rare ones that could explain it as
+    well; all buckets then start from there and learn what is left, such as pairs of terms that are harmless alone.
+    """
+    rng = np.random.Generator(np.random.PCG64(5))
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    params = [np.array([np.log(rate / (1 - rate))]), np.zeros(size), rng.normal(0, 0.01, (size, FACTORS))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, STEPS + 1):
-        bias, w, v = params
-        z, sums = _raw(bias[0], w, v, slot, owner, n)
-        g = (_sigmoid(z) - y) / n
-        per = g[owner]
-        grad_w = np.bincount(slot, per, size)
-        grad_v = np.empty_like(v)
-        for f in range(FACTORS):
-            grad_v[:, f] = np.bincount(slot, per * sums[owner, f], size) - grad_w * v[:, f]
-        grads = [np.array([g.sum()]), grad_w + L2 * w / n**0.5, grad_v + L2 * v / n**0.5]
-        for k, d in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * d
-            second[k] = 0.999 * second[k] + 0.001 * d * d
-            params[k] = params[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
+    bias, params = float(np.log(rate / (1 - rate))), np.zeros((size, 1 + FACTORS), np.float32)
+    params[:, 1:] = rng.normal(0, 0.01, (size, FACTORS))
+    n, n1 = np.bincount(slot, minlength=size), np.bincount(slot, np.repeat(y, np.diff(at)), size)
+    p = (n + 1) / (len(y) + 2)
+    z = (n1 / y.sum() - (n - n1) / (len(y) - y.sum())) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum())))
+    clear = (np.abs(z) >= MIN_Z)[slot]
+    bias, params = _descend(slot[clear], np.concatenate([[0], np.cumsum(clear)])[at], y, bias, params, rng)
+    # many buckets of a text move at once: held back so that one text can't swing its own score
+    return _descend(slot, at, y, bias, params, rng, (HOLD * RATE * len(slot) / len(y)) ** 2)
+
+
+def _descend(slot: np.ndarray, at: np.ndarray, y: np.ndarray, bias: float, params: np.ndarray, rng: np.random.Generator, damp: float = DAMP) -> tuple[float, np.ndarray]:
+    """Logistic loss, mini-batches of texts that are not empty, Adagrad."""
+    past, past_bias = np.full_like(params, max(damp, DAMP)), max(damp, DAMP)
+    full = np.flatnonzero(np.diff(at))
+    if not len(full):
+        return bias, params
+    batches = -(-len(full) // BATCH)
+    passes = max(EPOCHS, -(-MIN_STEPS // batches))
+    for turns in range(passes):
+        left = 1 - turns / passes
+        turn = rng.permutation(full)
+        for k in range(0, len(turn), BATCH):
+            texts = turn[k : k + BATCH]
+            long = at[texts + 1] - at[texts]
+            start = np.cumsum(long) - long
+            used, where = np.unique(slot[np.repeat(at[texts] - start, long) + np.arange(long.sum())], return_inverse=True)
+            mine = params[used]
+            z, sums = _raw(mine[where], start)
+            g = _sigmoid(bias + z) - y[texts]
+            sums[:, 0] = 1
+            each = np.repeat((g[:, None] * sums).astype(np.float32), long, axis=0)
+            grad = np.stack([np.bincount(where, each[:, f], len(used)) for f in range(1 + FACTORS)], axis=1).astype(np.float32)
+            grad[:, 1:] -= grad[:, :1] * mine[:, 1:]
+            grad += L2 * mine
+            past[used] += grad * grad
+            params[used] = mine - left * RATE * grad / np.sqrt(past[used])
+            past_bias += g.sum() ** 2
+            bias -= left * RATE * g.sum() / past_bias**0.5
+    return float(bias), params
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, folds: int = FOLDS) -> Model:
@@ -121,48 +147,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = one_per_id(labels, id_col, label_col).where(fold("label_id", folds) != 0).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     sample = cut(docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            y = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets):
                 ids, owner = _distinct(*buckets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                for k in (0, 1):
-                    n[k] += np.bincount(ids[y[i:j][owner] == k], minlength=1 << BUCKET_BITS)
-        seen = np.flatnonzero(n.sum(0))
-        for a in range(0, len(seen), 50_000):
-            part = seen[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[0, part]), pa.array(n[1, part])], names=["bucket", "n0", "n1"])
-
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
-    if not n0 or not n1:
-        return Model(-35.0 if not n1 else 35.0, slot, np.zeros(0), np.zeros((0, FACTORS)))
-    p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
-    z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = (
-        sample.mapInArrow(count, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .select("bucket", F.abs(z).alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(MAX_BUCKETS).collect()
-    )
-    for k, r in enumerate(best):
-        slot[r["bucket"]] = k
+                at = np.searchsorted(owner, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["label", "buckets"])
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for i, j in chunks(offsets):
-                ids, owner = buckets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                kept = slot[ids] >= 0
-                keys = np.unique(owner[kept] << 32 | slot[ids[kept]])
-                at = np.searchsorted(keys, np.arange(j - i + 1, dtype=np.int64) << 32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int32()))], names=["label", "slots"])
-
-    rows = sample.mapInArrow(features, "label int, slots array<int>").toArrow()
-    slots, y = rows.column("slots").combine_chunks(), rows.column("label").to_numpy().astype(float)
-    owner = np.repeat(np.arange(len(y)), slots.value_lengths().to_numpy(zero_copy_only=False))
-    return Model(*(lambda b, w, v: (b, slot, w, v))(*_fit(slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64), owner, y, len(best))))
+    rows = sample.mapInArrow(tidy(features), "label int, buckets array<int>").toArrow()
+    y = rows.column("label").to_numpy().astype(float)
+    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+    if not y.any() or y.all():
+        return Model(-35.0 if not y.any() else 35.0, slot, np.zeros((0, 1 + FACTORS), np.float32))
+    lists = rows.column("buckets")
+    at = np.concatenate([[0], np.cumsum([n for c in lists.chunks for n in c.value_lengths().to_numpy(zero_copy_only=False)])])
+    ids = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks])
+    del rows, lists
+    seen = np.unique(ids)
+    slot[seen] = np.arange(len(seen))
+    bias, params = _fit(slot[ids], at, y, len(seen))
+    return Model(bias, slot, params)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

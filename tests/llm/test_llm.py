@@ -221,6 +221,20 @@ def test_classifiers_hold_out(spark):
     assert toxicity.keep(docs, none).count() == len(texts) and quality.score(docs.limit(3), none).count() == 3
 
 
+def test_toxicity_learns_a_pure_interaction(spark):
+    rng = random.Random(3)
+    texts, toxic = [], []
+    for i in range(2000):
+        words = [rng.choice("the of and to in house tree water river stone cloud".split()) + rng.choice(["", "s", "ly"]) for _ in range(12)]
+        a, b = i & 1, i >> 1 & 1  # each as frequent in toxic texts as in others
+        texts.append(" ".join(words[:6] + ["frogs"] * a + words[6:] + ["lamp"] * b))
+        toxic.append(a ^ b)
+    docs = _docs(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+    assert len(rows) > 200 and np.mean([(r["score"] >= 0.5) == bool(toxic[r["doc_id"]]) for r in rows]) > 0.95
+
+
 def test_html():
     page = '<!DOCTYPE html><head><title>x</title></head><body><h1>T &amp; m</h1><p>One <b>two</b><p>three<br>four<div hidden>no</div><ul><li>a<li>b<ol start=3><li>x</li><li>y</ol></ul><table><tr><th>Name<th>Qty<tr><td>apple<td>3</table><pre>\n a\n   b</pre><span style="display: none">z</span><script>var a="</p>"</script>end'
     assert html_text.to_text(page) == "T & m\n\nOne two\n\nthree\nfour\n\n- a\n- b\n  3. x\n  4. y\n\nName  | Qty\napple | 3\n\n a\n   b\n\nend"
