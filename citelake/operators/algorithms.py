@@ -90,6 +90,12 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.join(ranked.select("label", "community"), "label").select("id", "community")
 
 
+def sources(nodes: DataFrame, exact: int = 5000, sample: int = 500, seed: int = 42) -> list[int]:
+    """All nodes of a graph of at most exact nodes, else a seeded sample."""
+    chosen = nodes if nodes.count() <= exact else nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
+    return [r["id"] for r in chosen.select("id").collect()]
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: list[int], parallel: int = 16) -> DataFrame:
     """(id, score): shortest-path betweenness of the undirected graph (a, b), normalised, from the given sources.
 

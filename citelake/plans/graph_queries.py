@@ -324,8 +324,7 @@ def _(g):
 @graph("i04_betweenness")
 def _(g):
     edges = read.undirected(g.cites)
-    sources = [r["id"] for r in g.papers.orderBy(F.xxhash64("id"), "id").limit(20).collect()]
-    return alg.betweenness(g.papers.select("id"), edges, sources)
+    return alg.betweenness(g.papers.select("id"), edges, alg.sources(g.papers.select("id")))
 
 
 @graph("i05_label_propagation")

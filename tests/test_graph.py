@@ -36,6 +36,19 @@ def test_betweenness_modularity_communities(spark):
     assert len({labels[i] for i in range(1, 5)}) == 1 and labels[1] != labels[6]
 
 
+def test_betweenness_takes_every_paper_of_a_small_graph(spark):
+    from citelake.graph import from_orders
+    from citelake.operators import read
+
+    g = from_orders(spark, FOLDER)
+    ids = [r["id"] for r in g.papers.select("id").collect()]
+    want = {r["id"]: r["score"] for r in alg.betweenness(g.papers.select("id"), read.undirected(g.cites), ids).collect()}
+    got = {r["id"]: r["score"] for r in catalog.queries()["i04_betweenness"](spark, FOLDER).collect()}
+    assert len(ids) <= 5000 and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    many = spark.range(5001).toDF("id")
+    assert len(alg.sources(many)) == 500 and alg.sources(many) == alg.sources(many)
+
+
 def test_similar(spark):
     edges = _edges(spark, [(1, 11), (1, 12), (1, 13), (2, 11), (2, 12), (3, 19)])
     assert [(r["id"], r["shared"], round(r["jaccard"], 6)) for r in alg.similar(edges, 1, 5).collect()] == [(2, 2, 0.666667)]
