@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85, personal: DataFrame | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85, personal: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
     """(id, score), summing to 1. edges: src, dst, optional weight. Dangling mass goes to the teleport vector.
 
+    With a tolerance the steps end, tried at every fifth, when the scores of a step differ from those before it by less
+    than tolerance times the number of nodes in all; iterations is then the limit.
+
     Ranks and edges keep one partitioning by id; the dangling sum is a one-row aggregate inside the same plan.
     """
     edges = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
@@ -26,9 +29,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping:
         lost = ranks.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         given = edges.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("part")).alias("given"))
         score = damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")
+        before = ranks.select("id", F.col("score").alias("before"))
         ranks = base.join(given, "id", "left").join(F.broadcast(lost)).select("id", score.alias("score"), "dangling", "p")
         if step % 5 == 4:
-            ranks = checkpointed(ranks)
+            if tolerance is None:
+                ranks = checkpointed(ranks)
+                continue
+            both = checkpointed(ranks.join(before, "id"))
+            ranks = both.drop("before")
+            moved = both.agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("moved"), F.count("*").alias("n")).first()
+            if not moved["n"] or moved["moved"] < tolerance * moved["n"]:
+                break
     return ranks.select("id", "score")
 
 

@@ -304,6 +304,11 @@ def _(g):
     return _scaled(alg.pagerank(g.papers.select("id"), g.cites), g.papers.count())
 
 
+@graph("i01_pagerank_converged")
+def _(g):
+    return _scaled(alg.pagerank(g.papers.select("id"), g.cites, 200, tolerance=1e-8), g.papers.count())
+
+
 @graph("i02_weighted_pagerank", sql("SELECT id, round(score * (SELECT count(*) FROM nd), 6) AS score FROM r10", *_rank_sql("SELECT x.author_id AS src, y.author_id AS dst, count(*)::DOUBLE AS weight FROM wrote x JOIN wrote y USING (paper_id) WHERE x.author_id <> y.author_id GROUP BY 1, 2", "SELECT s_suppkey AS id FROM supplier", UNIFORM)))
 def _(g):
     pairs = read.co_occurrence(g.wrote, "author_id", "paper_id").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").cast("double").alias("weight"))

@@ -23,6 +23,17 @@ def test_pagerank_star(spark):
     assert abs(sum(got.values()) - 1) < 1e-9 and got[6] > got[5] > got[0] and abs(got[0] - got[4]) < 1e-12
 
 
+def test_pagerank_converges_on_a_chain(spark):
+    n = 30
+    want = [1.0]  # 0 -> 1 -> ... -> 29: each score is what its citer gives and an equal share of the rest
+    for _ in range(n - 1):
+        want.append(1 + 0.85 * want[-1])
+    want = [x / sum(want) for x in want]
+    got = {r["id"]: r["score"] for r in alg.pagerank(spark.range(n).toDF("id"), _edges(spark, [(i, i + 1) for i in range(n - 1)]), 200, tolerance=1e-8).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-6 and abs(sum(got.values()) - 1) < 1e-9
+    assert "i01_pagerank_converged" in catalog.queries()
+
+
 def test_betweenness_modularity_communities(spark):
     a, b = range(5), range(5, 10)
     pairs = [(x, y) for g in (a, b) for x in g for y in g if x != y] + [(0, 10), (10, 0), (10, 5), (5, 10)]
