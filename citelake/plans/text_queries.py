@@ -114,3 +114,11 @@ def _(spark, folder):
     from citelake.functions.normalize import strip_tags
 
     return spark.read.parquet(f"{folder}/pages.parquet").select("page_id", strip_tags(F.concat("url", F.lit(" <b>x</b>  y "))).alias("clean"))
+
+
+@register("j01_clean_html")
+def _(spark, folder):
+    """All of each page; DuckDB cannot resolve entities, so the tests hold it against brute force."""
+    from citelake.functions.normalize import clean_text
+
+    return spark.read.parquet(f"{folder}/pages.parquet").select("page_id", clean_text(F.col("html")).alias("clean"))

@@ -65,6 +65,18 @@ def test_similar(spark):
     assert [(r["id"], r["shared"], round(r["jaccard"], 6)) for r in alg.similar(edges, 1, 5).collect()] == [(2, 2, 0.666667)]
 
 
+def test_clean_html_reads_whole_pages(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
+    got = {r["page_id"]: r["clean"] for r in catalog.queries()["j01_clean_html"](spark, FOLDER).collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        want = None if r["html"] is None else re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(r["html"]))).strip() or None
+        assert got[r["page_id"]] == want
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.6g}"
