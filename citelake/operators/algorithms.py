@@ -117,11 +117,11 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: list[int], parallel
     import pandas as pd
 
     spark = nodes.sparkSession
-    ids = np.sort(np.array([r[0] for r in nodes.select("id").collect()]))
+    ids = np.sort(nodes.select("id").toArrow().column(0).to_numpy())
     if edges.count() > 50_000_000:
         raise ValueError("too many edges for one task; sample the graph first")
-    pairs = edges.toPandas()
-    a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
+    pairs = edges.toArrow()
+    a, b = np.searchsorted(ids, pairs.column("a").to_numpy()), np.searchsorted(ids, pairs.column("b").to_numpy())
     order = np.argsort(a, kind="stable")
     start = np.searchsorted(a[order], np.arange(len(ids) + 1))
     shared = spark.sparkContext.broadcast((ids, start, b[order]))
