@@ -7,6 +7,8 @@ split a multi-byte character.
 from __future__ import annotations
 
 import ctypes
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,12 +42,17 @@ _POW = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a fresh temporary one only where none is set (tests)."""
+    """The shared folder that the session's context has or spark.checkpoint.dir names.
+
+    Only a local session, whose executors are this machine, gets a folder of its own where none is named.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citelake-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -56,9 +63,13 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, giving freed memory back to the system at the end of a partition: workers live on beside those of other stages."""
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Kernel) -> Kernel:
+    """run, giving freed memory back to the system at the end of a partition: workers live on beside those of others."""
 
+    @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()

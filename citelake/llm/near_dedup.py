@@ -2,23 +2,24 @@
 
 Two collections of M partial keys, each from T minhashes, stand for M * M tables: table (i, j) is keyed by the pair
 (a_i, b_j), so 2 * M * T minhashes do the work of M * M * 2T. A pair with Jaccard similarity s shares a table with
-chance (1 - (1 - s^T)^M)^2, 0.9998 at 0.75 and 0.01 at 0.25. A partial key that no other text shares can't take part in
-a table, so only the few that are shared are ever combined.
-
-Texts with equal shingle sets are one class, told by a 128-bit digest of the set, and only classes are linked. A table's
-members are not all paired. First the holders of a partial key are each compared with one pivot, the one that shares the
-most keys, since the origin of a group of near copies shares more than they do among themselves. Keys whose holders are
-now one component are settled. Only the others are combined into tables. A member of a table that still holds several
-components can be similar to one of another component only if enough of its shingles occur in several; those with fewer
-end there. The rest are compared across components: through an inverted index of their sets while these are at most
-PROBE_BYTES, else where a prefix filter, which is exact too, allows a similarity.
-Every comparison counts exact intersections of the full sets, so no link between different texts is lost to the way
+chance (1 - (1 - s^T)^M)^2, 0.9998 at 0.75 and 0.01 at 0.25.
+
+Texts with equal shingle sets are one class, told by a 128-bit digest of the set, and only classes are linked. Two rules
+keep the tables few without losing a pair of members: a partial key that no other class has can't take part in a table,
+and partial keys of one collection that the same classes hold make the same tables, so one of them stands for all.
+
+A table's members are not all paired. Each is compared with the table's pivot, the member that is in most tables: the
+origin of a group of near copies shares more than they do among themselves. Links join components, and a table whose
+members are now one component is done. What is left are tables that hold several components, mostly texts with a passage
+in common. Their members can be similar across components only if enough of their shingles occur in several, and those
+that pass are compared where a prefix filter, which is exact too, allows a similarity. The same steps run at every size;
+every comparison counts exact intersections of the full sets, so no link between different texts is lost to the way
 pairs are chosen.
 
 Defined results: words and shingles as in ``common`` (A-Z lowered, five words, a shorter text is one shingle). Null or
 wordless texts have no shingles and are linked with nothing. Rows that repeat an id are one node. Rows with a null id
 join the component of texts with the same set, or have a null component and stay. Empty tables give empty tables; extra
-columns pass through ``keep``.
+columns, whatever their names, pass through ``keep``.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ from citelake.llm.components import components
 #: Partial keys in each of the two collections, and minhashes in a partial key.
 M, PER_KEY = 24, 4
 SIMILARITY = 75  # per cent
-#: Bytes of unsettled shingle sets up to which an index of them is broadcast.
-PROBE_BYTES = 32 << 20
 #: Shingles in the head of a set beyond the fewest of which similar sets must share one.
 MEETINGS = 8
 
@@ -102,15 +101,20 @@ def shared_keys(made: DataFrame, groups: DataFrame) -> DataFrame:
 
     live = full.select("f1", "f2", "n", "a", "b").mapInArrow(tidy(run), schema).distinct().join(shared, "key", "left_semi")
     keys = cut(live.join(groups.where("rep IS NOT NULL"), ["f1", "f2", "n"]).select("key", F.col("rep").alias("id"), "n", "second"))
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi")
+    held = keys.groupBy("key", "second").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("d"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("e")
+    )
+    holders = held.where("c > 1").select("key", "second", F.xxhash64("second", "c", "d", "e").alias("same"))
+    return keys.join(holders, ["key", "second"]).select(F.col("same").alias("key"), "id", "n", "second").distinct()
 
 
 def tables(keys: DataFrame) -> DataFrame:
     """Rows (k, id, n, w) of the tensored tables over the given keys: key, class, shingles, tables of the class."""
-    lists = keys.groupBy("id", "n").agg(*(F.collect_list(F.when(F.col("second") == s, F.col("key"))).alias(c) for c, s in (("a", False), ("b", True))))
+    of = lambda second: F.collect_list(F.when(F.col("second") == second, F.col("key")))
+    lists = keys.groupBy("id", "n").agg(of(False).alias("a"), of(True).alias("b"))
     lists = lists.withColumn("w", F.size("a") * F.size("b"))
-    made = lists.select("id", "n", "w", F.explode("a").alias("a"), "b").select("id", "n", "w", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("k"), "id", "n", "w")
-    return made.join(made.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "k")
+    one = lists.select("id", "n", "w", F.explode("a").alias("a"), "b")
+    return one.select("id", "n", "w", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("k"), "id", "n", "w")
 
 
 def _may_link(n: Column, m: Column) -> Column:
@@ -170,61 +174,31 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(tidy(run), T.StructType([pairs.schema["x"], pairs.schema["y"]])).distinct()
 
 
+def stars(rows: DataFrame) -> DataFrame:
+    """(x, y) of each member of a table (k, id, n, w) with the table's pivot, where their sizes allow a link.
+
+    Both sides of the join are dealt by k alone, so a table that holds very many members is split as a skewed join is.
+    """
+    best = F.max(F.struct("w", F.xxhash64("id").alias("o"), F.col("id").alias("pivot"), F.col("n").alias("m"))).alias("p")
+    pivots = rows.groupBy("k").agg(F.count("*").alias("size"), best).where("size > 1").select("k", "p.pivot", "p.m")
+    met = rows.join(pivots, "k").where((F.col("id") != F.col("pivot")) & _may_link(F.col("n"), F.col("m")))
+    return met.select(*_ordered(F.col("id"), F.col("pivot"))).distinct()
+
+
 def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of every class that is linked with another."""
-    keys = cut(shared_keys(made, groups))
-    weight = keys.groupBy("id").agg(F.count("*").alias("w"))
-    best = F.max(F.struct("w", F.xxhash64("id").alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
-    pivots = keys.join(weight, "id").groupBy("key").agg(best).select("key", "p.pivot", "p.pivot_n")
-    sets = cut(member_sets(docs, keys, id_col, text_col))
-    first = keys.join(pivots, "key").where((F.col("id") != F.col("pivot")) & _may_link(F.col("n"), F.col("pivot_n")))
-    tested = cut(first.select(*_ordered(F.col("id"), F.col("pivot"))).distinct())
-    links = cut(verify(tested, sets))
+    rows = cut(tables(shared_keys(made, groups)))
+    sets = cut(member_sets(docs, rows, id_col, text_col))
+    tested = cut(stars(rows))
+    links = cut(verify(tested, named(sets, tested)))
     labels = cut(components(links, "x", "y"))
-    rest = cut(_open(tables(_open(keys, labels, "key").select("key", "id", "n", "second")), labels, "k").select("id", "n", "c").distinct())
-    rest, shared, bits = crossing(cut(rest.join(sets, "id")))
-    if (rest.agg(F.sum(F.length("s"))).first()[0] or 0) <= PROBE_BYTES:
-        found = cut(probe(rest))
-    else:
-        pairs = cut(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"))
-        found = cut(verify(pairs, named(rest, pairs)))
+    rest = cut(_open(rows, labels, "k").select("id", "n", "c").distinct().join(sets, "id"))
+    rest, shared, bits = crossing(rest)
+    pairs = cut(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"))
+    found = cut(verify(pairs, named(rest, pairs)))
     return components(cut(links.unionByName(found)), "x", "y") if found.take(1) else labels
 
 
-def probe(rest: DataFrame) -> DataFrame:
-    """(x, y) of different components that are similar, for sets of at most PROBE_BYTES in all.
-
-    Every set meets an inverted index of them all, which counts its exact intersections without a row for each pair.
-    """
-    table = rest.select("id", "c", "s").toArrow()
-    if not table.num_rows:
-        return rest.select(F.col("id").alias("x"), F.col("id").alias("y"))
-    ids, comp = (np.array(table.column(k).to_pylist()) for k in (0, 1))
-    own = [np.frombuffer(x, np.uint64) for x in table.column(2).to_pylist()]
-    sizes = np.array([len(x) for x in own])
-    flat = np.concatenate(own)
-    order = np.argsort(flat, kind="stable")
-    shared = rest.sparkSession.sparkContext.broadcast((ids, comp, sizes, flat[order], np.repeat(np.arange(len(own)), sizes)[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, comp, sizes, flat, owner = shared.value
-        for batch in batches:
-            x, y = [], []
-            for i, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h = np.frombuffer(s.as_buffer(), np.uint64)
-                a, b = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
-                size = b - a
-                where = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-                same = np.bincount(owner[where], minlength=len(ids))
-                near = np.flatnonzero((100 * same >= SIMILARITY * (len(h) + sizes - same)) & (comp != c) & (ids > i))
-                x += [i] * len(near)
-                y += ids[near].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(0).type), pa.array(y, batch.schema.field(0).type)], names=["x", "y"])
-
-    parts = max(rest.sparkSession.sparkContext.defaultParallelism, 1)
-    return rest.select("id", "c", "s").repartition(4 * parts, "id").mapInArrow(tidy(run), T.StructType([T.StructField(k, rest.schema["id"].dataType) for k in ("x", "y")])).distinct()
-
-
 def _said(rest: DataFrame, names: tuple[str, ...], bits: Broadcast | None = None) -> DataFrame:
     """A row (names, s) for each shingle of each set, or each that the filter may hold."""
     schema = T.StructType([*(rest.schema[c] for c in names), T.StructField("s", T.LongType())])
@@ -286,7 +260,8 @@ def prefix_pairs(rest: DataFrame, shared: DataFrame, bits: Broadcast) -> DataFra
 def _open(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """The rows whose key has members of several components, with their component c."""
     now = rows.join(labels, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("c"))
-    return now.join(now.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(key), key)
+    several = now.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(key)
+    return now.join(several, key)
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
