@@ -39,8 +39,6 @@ from citelake.llm.components import components
 #: Partial keys in each of the two collections, and minhashes in a partial key.
 M, PER_KEY = 24, 4
 SIMILARITY = 75  # per cent
-#: Shingles in the head of a set beyond the fewest of which similar sets must share one.
-MEETINGS = 8
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -239,22 +237,24 @@ def crossing(rest: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
 def prefix_pairs(rest: DataFrame, shared: DataFrame, bits: Broadcast) -> DataFrame:
     """(x, y) of different components that may be similar: exact, without pairing the members of a table.
 
-    With shingles ordered from rare to common, the head of a set is its first n - ceil(n * SIMILARITY / 100) + t. What
-    two sets share outside both heads lies behind the head of one of them, so heads must meet as often as the similarity
-    needs beyond that. What very many texts share comes last and pairs nobody.
+    Similar sets of n and m shingles share at least need = (n + m) * SIMILARITY / (100 + SIMILARITY). With shingles
+    ordered from rare to common, the first that they share has rank n - need + 1 at most in one and m - need + 1 at most
+    in the other, so only these heads meet. Shingles of one component alone come first and meet nobody; neither can two
+    sets share more than either has beside them. What very many texts share comes last and pairs nobody.
     """
     turn = Window.partitionBy("id").orderBy("often", "s")
-    # shingles of one component alone come first in every order: their number is what is missing from the shared ones
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    least = F.ceil(F.col("n") * SIMILARITY / 100)
-    ranked = _said(rest, ("id", "n", "c"), bits).join(shared, "s").withColumn("r", F.row_number().over(turn) + alone)
-    ranked = ranked.withColumn("tail", least - F.least(F.lit(MEETINGS), least))
-    heads = cut(ranked.where(F.col("r") <= F.col("n") - F.col("tail")).select("id", "n", "c", "tail", "s"))
-    other = heads.select("s", *(F.col(k).alias(f"o_{k}") for k in ("id", "n", "c", "tail")))
-    met = heads.join(other, "s").where((F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & _may_link(F.col("n"), F.col("o_n")))
-    needed = F.ceil((F.col("n") + F.col("o_n")) * SIMILARITY / (100 + SIMILARITY)) - F.greatest("tail", "o_tail")
-    met = met.groupBy(F.col("id").alias("x"), F.col("o_id").alias("y")).agg(F.count("*").alias("met"), F.max(needed).alias("needed"))
-    return met.where("met >= needed").select("x", "y")
+    # shingles of one component alone are what is missing from the shared ones
+    ranked = _said(rest, ("id", "n", "c"), bits).join(shared, "s")
+    ranked = ranked.withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("id")))
+    ranked = ranked.withColumn("r", F.row_number().over(turn) + F.col("alone"))
+    heads = cut(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1))
+    heads = heads.select("id", "n", "c", "alone", "r", "s")
+    other = heads.select("s", *(F.col(k).alias(f"o_{k}") for k in ("id", "n", "c", "alone", "r")))
+    need = F.ceil((F.col("n") + F.col("o_n")) * SIMILARITY / (100 + SIMILARITY))
+    enough = F.least(F.col("n") - F.col("alone"), F.col("o_n") - F.col("o_alone")) >= need
+    early = (F.col("r") <= F.col("n") - need + 1) & (F.col("o_r") <= F.col("o_n") - need + 1)
+    met = heads.join(other, "s").where((F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & enough & early)
+    return met.select(F.col("id").alias("x"), F.col("o_id").alias("y")).distinct()
 
 
 def _open(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
