@@ -185,12 +185,13 @@ def stars(rows: DataFrame) -> DataFrame:
 
 def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of every class that is linked with another."""
-    rows = cut(tables(shared_keys(made, groups)))
+    keys = cut(shared_keys(made, groups))
+    rows = cut(tables(keys))
     sets = cut(member_sets(docs, rows, id_col, text_col))
     tested = cut(stars(rows))
     links = cut(verify(tested, named(sets, tested)))
     labels = cut(components(links, "x", "y"))
-    rest = cut(_open(rows, labels, "k").select("id", "n", "c").distinct().join(sets, "id"))
+    rest = cut(_open(keys, labels).join(sets, "id"))
     rest, shared, bits = crossing(rest)
     pairs = cut(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"))
     found = cut(verify(pairs, named(rest, pairs)))
@@ -257,11 +258,13 @@ def prefix_pairs(rest: DataFrame, shared: DataFrame, bits: Broadcast) -> DataFra
     return met.select(F.col("id").alias("x"), F.col("o_id").alias("y")).distinct()
 
 
-def _open(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """The rows whose key has members of several components, with their component c."""
-    now = rows.join(labels, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("c"))
-    several = now.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(key)
-    return now.join(several, key)
+def _open(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, n, c) of every class that may be in a table with several components: one that has a partial key in each
+    collection with members of several components."""
+    now = keys.join(labels, "id", "left").select(*keys.columns, F.coalesce("component", "id").alias("c"))
+    several = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    held = now.join(several, "key").groupBy("id", "n", "c").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    return held.where("hi AND NOT lo").select("id", "n", "c")
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
