@@ -7,22 +7,30 @@ always lie in fragments of one hash. Hashes that occur once are dropped; fragmen
 with a count, and a context that occurs twice is repeated as a whole.
 
 Hashes with several contexts go to the kernel. A task cuts the contexts into shards, builds the Burrows-Wheeler
-transform of each shard and merges them by interleave refinement: the interleave of the shards starts as their
-concatenation, and each pass stably deals it by the symbol before each suffix, which sorts it one symbol deeper. Block
-bounds that appear on pass h are common prefixes of length h - 1, so after LENGTH passes the blocks with two or more
-window starts are the repeated intervals. The suffixes of the merged collection are never sorted.
-
-A hash with over HOT_CONTEXTS contexts (a passage that very many documents share, each with other surroundings) would
-not fit a task; its windows are counted one by one by hash, in an ordinary aggregation, which is exact as well.
+transform of each shard and merges them by interleave refinement: the interleave of the shards' rows starts as their
+concatenation, and each pass stably deals it by the two symbols before each suffix, which sorts it two symbols deeper.
+Block bounds that appear on a pass are common prefixes of its depth, and a row whose block has no other is settled and
+leaves, so after LENGTH symbols the blocks with two or more window starts are the repeated intervals. The suffixes of
+the merged collection are never sorted. Contexts whose bytes on both sides of the shared k-gram agree with no other for
+LENGTH bytes in all can't hold a repeat and don't enter.
+
+A hash may have any number of contexts (a passage that very many documents share, each with other surroundings). Groups
+of more than GROUP contexts are split by content again: windows are told apart by the offset of the k-gram in them, the
+range of offsets is halved, and what all windows of a half have in common, which grows with every halving, is the new
+key. Pieces that are equal count as one, so a group ends at the latest where the key is the window itself.
 
 Defined results: texts are UTF-8 bytes, null is empty; texts under LENGTH bytes lose nothing; matches never cross
-documents; repeated rows are repeats of each other; rows with a null id are treated like others; empty tables give empty
-tables. Equality of windows is decided on bytes in the kernel, on 64-bit hashes for whole contexts and hot windows.
+documents; repeated rows are repeats of each other; rows with a null id are treated like others; texts of any length are
+read in windows of CHUNK_BYTES; empty tables give empty tables. Equality is decided on bytes; a context is then named by
+its hash and 64 bits of a BLAKE2 digest, a text by 64 bits of one and its id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +38,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import bitmap, bounded_batches, chunks, cut, marked, mix, prefix_hash, signed, text_buffer
+from citelake.llm.common import CHUNK_BYTES, bitmap, bounded_batches, chunks, cut, marked, mix, prefix_hash, signed, text_buffer, tidy
 
 LENGTH = 200
 GRAM = 48
 #: Window starts in a fragment at most.
 RUN = 160
 #: Bytes of contexts that the kernel takes at once, and bytes in a shard: small, since each pass should stay in cache.
-BLOCK_BYTES, SHARD_BYTES = 256 << 10, 160 << 10
-HOT_CONTEXTS = 1024
+BLOCK_BYTES, SHARD_BYTES = 128 << 10, 64 << 10
+#: Contexts that a task compares at once; larger groups are split by content.
+GROUP = 1024
 
 _U = np.uint64
 
 
+def _digest(s: bytes) -> int:
+    return int.from_bytes(blake2b(s, digest_size=8).digest(), "little", signed=True)
+
+
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each fragment: least hash, text, first window start (in data), number of starts, whether windows may repeat
-    inside it; and the prefix hashes."""
+    """Of each fragment: least hash, text, first window start (in data), number of starts, place of the first k-gram with
+    that hash after the first start, and whether there are more."""
     n, width = len(data), length - gram + 1
-    total, inverse = prefix_hash(data)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, np.uint64), empty, empty, empty, empty > 0, total, inverse
+        return np.zeros(0, np.uint64), empty, empty, empty, empty, empty > 0
+    total, inverse = prefix_hash(data)
     h = mix((total[gram:] - total[: n - gram + 1]) * inverse[: n - gram + 1])
     pad = -len(h) % width
     grid = np.concatenate([h, np.full(pad, 2**64 - 1, np.uint64)]).reshape(-1, width)
@@ -72,16 +85,33 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     pieces = -(-long // RUN)
     begin = np.repeat(begin, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     m = np.diff(np.append(begin, len(p)))
-    # windows that repeat within one fragment hold its least gram more than once
-    grams = m + width - 1
-    at = np.cumsum(grams) - grams
-    same = h[np.repeat(p[begin] - at, grams) + np.arange(grams.sum())] == np.repeat(least[begin], grams)
-    inner = np.add.reduceat(same, at) > 1 if len(at) else np.zeros(0, dtype=bool)
-    return least[begin], text[begin], p[begin], m, inner, total, inverse
-
-
-def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BWT of a collection (0 before the start of a string, bytes raised by 1), and string and offset of each suffix.
+    value, p = least[begin], p[begin]
+    if not len(p):
+        return value, empty, empty, empty, empty, empty > 0
+    # the k-grams that can be the least of a fragment, and those of each fragment
+    low = np.flatnonzero(h <= value.max())
+    first = np.searchsorted(low, p)
+    held = np.searchsorted(low, p + m + width - 1) - first
+    at = np.cumsum(held) - held
+    where = low[np.repeat(first - at, held) + np.arange(held.sum())]
+    same = h[where] == np.repeat(value, held)
+    lead = where[np.flatnonzero(same)[np.searchsorted(np.flatnonzero(same), at)]]
+    return value, text[begin], p, m, lead - p, np.add.reduceat(same, at) > 1
+
+
+def windowed(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], int]]:
+    """Bytes, their fragments and the place of the bytes in a text, of a chunk; a longer text comes in windows."""
+    if len(offsets) > 2 or len(data) <= CHUNK_BYTES + LENGTH:
+        yield data, fragments(data, offsets), 0
+        return
+    for a in range(0, len(data) - LENGTH + 1, CHUNK_BYTES):
+        part = data[a : a + CHUNK_BYTES + LENGTH - 1]
+        yield part, fragments(part, np.array([0, len(part)])), a
+
+
+def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix of a collection, in sorted order: the two symbols before it as one number (0 if there are fewer), the
+    row of the suffix that begins with them, its string and its offset there.
 
     Every string ends in a terminator of its own, smaller than all bytes, ordered as the strings are.
     """
@@ -119,33 +149,41 @@ def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         depth *= 2
     owner = np.repeat(np.arange(m), size)[order]
     place = order - at[owner]
-    before = np.zeros(n, np.int64)
-    before[body] = text + 1
-    bwt = np.where(place > 0, before[order - 1], 0)
-    return bwt.astype(np.uint8 if not len(text) or text.max() < 255 else np.uint16), owner, place
+    raised = np.zeros(n, np.int64)
+    raised[body] = text + 1
+    top = 256 if not len(text) or text.max() < 255 else 257
+    pair = np.where(place > 1, raised[order - 2] * top + raised[order - 1], 0)
+    row = np.empty(n, np.int64)
+    row[order] = np.arange(n)
+    back = np.where(place > 1, row[order - 2], 0)
+    return pair.astype(np.uint16 if top == 256 else np.int32), back, owner, place
 
 
-def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' suffixes (a shard number each) sorted by depth symbols, and their block numbers.
+def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, counted through all shards, whose first depth symbols another row has too, sorted by these, and the
+    number of the block of each; depth is even.
 
-    shards: BWTs with symbol 0 before the start of a string. As many strings, so many terminator suffixes lead a shard.
+    shards: pairs of symbols before each suffix and the rows of the suffixes that begin with them, as of ``shard_bwt``.
     """
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for b in shards])
-    n = len(z)
-    strings = [int(np.count_nonzero(b == 0)) for b in shards]
-    head = np.repeat(np.arange(len(shards), dtype=np.uint8), strings)
-    block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.result_type(*shards))
-    for _ in range(depth):
-        for s, b in enumerate(shards):
-            symbol[z == s] = b
-        order = np.argsort(symbol, kind="stable")[len(head) :]
-        dealt, under, old = z[order], symbol[order], block[order]
-        fresh = np.ones(n, dtype=bool)
-        fresh[len(head) + 1 :] = (under[1:] != under[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(fresh, dtype=np.int32)
-        z = np.concatenate([head, dealt])
-        if block[-1] == n:
+    if depth % 2:
+        raise ValueError("depth must be even")
+    first = np.cumsum([0, *(len(pair) for pair, _ in shards)])
+    pair = np.concatenate([p for p, _ in shards])
+    back = np.concatenate([b + k for (_, b), k in zip(shards, first, strict=False)])
+    z = np.arange(len(pair))
+    block = np.zeros(len(pair), np.int32)
+    for _ in range(depth // 2):
+        before = pair[z]
+        order = np.argsort(before, kind="stable")
+        before = before[order]
+        gone = int(np.searchsorted(before, 1))  # nothing starts two symbols before these
+        order, before = order[gone:], before[gone:]
+        z, old = back[z[order]], block[order]
+        fresh = np.ones(len(z) + 1, dtype=bool)
+        fresh[1:-1] = (before[1:] != before[:-1]) | (old[1:] != old[:-1])
+        shared = ~(fresh[:-1] & fresh[1:])
+        block, z = np.cumsum(fresh[:-1], dtype=np.int32)[shared], z[shared]
+        if not len(z):
             break
     return z, block
 
@@ -158,19 +196,16 @@ def repeated_starts(strings: list[bytes], starts: list[int], length: int = LENGT
         while last < len(strings) and (last == first or size + len(strings[last]) < shard_bytes):
             size += len(strings[last])
             last += 1
-        bwt, owner, place = shard_bwt(strings[first:last])
-        shards.append(bwt)
+        pair, back, owner, place = shard_bwt(strings[first:last])
+        shards.append((pair, back))
         owners.append(owner + first)
         places.append(place)
         first = last
     z, block = merge(shards, length)
-    owner, place = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    for s in range(len(shards)):
-        mine = z == s
-        owner[mine], place[mine] = owners[s], places[s]
+    owner, place = np.concatenate(owners)[z], np.concatenate(places)[z]
     counted = np.array(starts)
     is_start = place < counted[owner]
-    several = np.bincount(block[is_start], minlength=int(block[-1]) + 1) > 1
+    several = np.bincount(block[is_start], minlength=int(block[-1]) + 1 if len(block) else 1) > 1
     hit = is_start & several[block]
     at = np.concatenate([[0], np.cumsum(counted)])
     flags = np.zeros(int(at[-1]), dtype=bool)
@@ -185,40 +220,46 @@ def _spread(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_hashes(rows: DataFrame) -> DataFrame:
     """Least hashes of more than one fragment in the corpus, or of one that may repeat inside."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for i, j in chunks(offsets):
-                h, _, _, _, inner, _, _ = fragments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                value, n = np.unique(np.concatenate([h, h[inner]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(n)], names=["h", "n"])
+                for _, (h, *_, inner), _ in windowed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    value, n = np.unique(np.concatenate([h, h[inner]]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(n)], names=["h", "n"])
 
-    return bounded_batches(rows).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    made = bounded_batches(rows).mapInArrow(tidy(counted), "h bigint, n bigint")
+    return made.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def occurrences(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(h, c, id, t, p, m, inner, s): hash, context hash, id and hash of the text, first start, number of starts, bytes."""
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), rows.schema["id"], T.StructField("t", T.LongType()), T.StructField("p", T.LongType()), T.StructField("m", T.LongType()), T.StructField("inner", T.BooleanType()), T.StructField("s", T.BinaryType())])
+    """(h, c, id, t, p, m, g, inner, s): hash, digest of the bytes, id and digest of the text, first start, number of
+    starts, place of the k-gram, whether it comes again, bytes."""
+    long = ("h", "c", "t", "p", "m", "g")
+    schema = T.StructType([rows.schema["id"], *(T.StructField(k, T.LongType()) for k in long), T.StructField("inner", T.BooleanType()), T.StructField("s", T.BinaryType())])
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fragmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for i, j in chunks(offsets):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                h, text, p, m, inner, total, inverse = fragments(part, at)
-                keep = marked(shared.value, h)
-                h, text, p, m, inner = h[keep], text[keep], p[keep], m[keep], inner[keep]
-                stop = p + m + LENGTH - 1
-                c = mix((total[stop] - total[p]) * inverse[p] + _U(1) * m.astype(np.uint64))
-                t = mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]])
-                raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(signed(h)), pa.array(signed(c)), batch.column(0).slice(i, j - i).take(pa.array(text)), pa.array(signed(t[text])),
-                    pa.array(p - at[text]), pa.array(m), pa.array(inner), pa.array([raw[a:b] for a, b in zip(p.tolist(), stop.tolist(), strict=True)], pa.binary()),
-                ], names=schema.names)
-
-    return bounded_batches(rows).mapInArrow(run, schema)
+                chunk, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                t = np.zeros(j - i, np.int64)
+                told = np.zeros(j - i, dtype=bool)
+                whole = chunk.tobytes()
+                for part, (h, text, p, m, g, inner), shift in windowed(chunk, at):
+                    keep = marked(shared.value, h)
+                    h, text, p, m, g, inner = (x[keep] for x in (h, text, p, m, g, inner))
+                    for k in np.unique(text[~told[text]]).tolist():
+                        t[k], told[k] = _digest(whole[at[k] : at[k + 1]]), True
+                    raw = part.tobytes() if part is not chunk else whole
+                    s = [raw[a:b] for a, b in zip(p.tolist(), (p + m + LENGTH - 1).tolist(), strict=True)]
+                    c = np.array([_digest(x) for x in s], np.int64)
+                    numbers = (signed(h), c, t[text], p + shift - at[text], m, g)
+                    ids = batch.column(0).slice(i, j - i).take(pa.array(text))
+                    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers), pa.array(inner), pa.array(s, pa.binary())], names=schema.names)
+
+    return bounded_batches(rows).mapInArrow(tidy(fragmented), schema)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -226,40 +267,101 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def _agreeing(parts: list[bytes]) -> np.ndarray:
+    """Of each part: the bytes at its start that it shares with some other one."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = np.zeros(len(parts), np.int64)
+    for i, j in zip(order, order[1:], strict=False):
+        n = min(len(parts[i]), len(parts[j]))
+        x = int.from_bytes(parts[i][:n], "big") ^ int.from_bytes(parts[j][:n], "big")
+        same = n - (x.bit_length() + 7) // 8
+        out[i], out[j] = max(out[i], same), max(out[j], same)
+    return out
+
+
+def promising(contexts: list[tuple[bytes, int, bool]], length: int = LENGTH, gram: int = GRAM) -> list[int]:
+    """The contexts (bytes, place of the k-gram, whether it comes again) of one hash that may hold a repeated window.
+
+    Where the k-gram comes once, equal windows have it at one offset, so what lies to its left and right must agree for
+    length bytes in all with what other contexts have there.
+    """
+    if any(inner for *_, inner in contexts):
+        return list(range(len(contexts)))
+    left, right = _agreeing([s[:g][::-1] for s, g, _ in contexts]), _agreeing([s[g + gram :] for s, g, _ in contexts])
+    return np.flatnonzero(left + right + gram >= length).tolist()
+
+
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts (h, c, m, s), sorted by h, to runs (h, c, a, b) of repeated starts a to b - 1."""
-    held: list[tuple[int, int, int, bytes]] = []
-    size = 0
+    """Pieces (key, h, c, a, m, g, inner, s), sorted by key, to runs (h, c, a, b) of repeated starts a to b - 1."""
+    held: list[tuple] = []
 
     def block() -> pa.RecordBatch:
-        out = [(h, c, a, b) for (h, c, _, _), flags in zip(held, repeated_starts([x[3] for x in held], [x[2] for x in held]), strict=True) for a, b in _runs(flags)]
+        found = repeated_starts([x[-1] for x in held], [x[4] for x in held])
+        out = [(h, c, at + a, at + b) for (_, h, c, at, *_), flags in zip(held, found, strict=True) for a, b in _runs(flags)]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["h", "c", "a", "b"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if size > BLOCK_BYTES and row[0] != held[-1][0]:
-                yield block()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+    rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True))
+    size = 0
+    for _, group in groupby(rows, key=itemgetter(0)):
+        group = list(group)
+        for k in promising([(s, g, inner) for *_, g, inner, s in group]):
+            held.append(group[k])
+            size += len(group[k][-1])
+        if size > BLOCK_BYTES:
+            yield block()
+            held, size = [], 0
     if held:
         yield block()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts (h, c, m, s) to window hashes (h, c, a, w)."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (h, c, a, m, g, lo, hi, s), of windows with their k-gram at an offset from lo to hi, to those of each half of
+    this range, with the key that all windows of the half share."""
     for batch in batches:
-        m = batch.column(2).to_numpy()
-        data = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
-        at = np.concatenate([[0], np.cumsum(m + LENGTH - 1)])
-        owner = np.repeat(np.arange(len(m)), m)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-        total, inverse = prefix_hash(data)
-        p = at[owner] + place
-        w = mix((total[p + LENGTH] - total[p]) * inverse[p])
-        for k in range(0, len(w), 100_000):
-            o = pa.array(owner[k : k + 100_000])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(o), batch.column(1).take(o), pa.array(place[k : k + 100_000]), pa.array(signed(w[k : k + 100_000]))], names=["h", "c", "a", "w"])
+        out = []
+        for h, c, a, m, g, lo, hi, s in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            gram, start = s[g : g + GRAM], 0
+            while start < m:  # windows up to the next k-gram, which is the first in each of them
+                stop = min(m, g + 1)
+                for low, high in ((lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)):
+                    first, last = max(start, g - high), min(stop - 1, g - low)
+                    if low <= high and first <= last:
+                        core = s[g - low : g - high + LENGTH]
+                        key = _digest(h.to_bytes(8, "little", signed=True) + bytes([low, high]) + core)
+                        out.append((key, h, c, a + first, last - first + 1, g - first, low, high, s[first : last + LENGTH]))
+                start, g = stop, s.find(gram, g + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k == 8 else pa.int64()) for k in range(9)], names=["key", "h", "c", "a", "m", "g", "lo", "hi", "s"])
+
+
+def grouped(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces (key, h, c, a, m, g, inner, s) in groups of at most GROUP, and runs (h, c, a, b) known to be repeated.
+
+    contexts: h, c, m, g, inner, s, n, several to a hash or with a repeated k-gram.
+    """
+    size = contexts.groupBy("h").agg(F.count("*").alias("contexts"))
+    several = contexts.join(size, "h").where("contexts > 1 OR inner AND n = 1")
+    zero = F.lit(0).cast("long")
+    small = several.where(F.col("contexts") <= GROUP)
+    ready = small.select(F.col("h").alias("key"), "h", "c", zero.alias("a"), "m", "g", "inner", "s")
+    known = contexts.where("n > 1").select("h", "c", zero.alias("a"), F.col("m").alias("b"))
+    whole = F.lit(LENGTH - GRAM).cast("long")
+    large = several.where(F.col("contexts") > GROUP).select("h", "c", zero.alias("a"), "m", "g", zero.alias("lo"), whole.alias("hi"), "s")
+    large = cut(large)
+    fields = "key bigint, h bigint, c bigint, a bigint, m bigint, g bigint, lo bigint, hi bigint, s binary"
+    while not large.isEmpty():
+        pieces = cut(large.mapInArrow(tidy(_halves), fields))
+        one = F.min(F.struct("h", "c", "a", "m", "g", "lo", "hi")).alias("one")
+        distinct = cut(pieces.groupBy("key", "s").agg(F.count("*").alias("n"), one))
+        equal = pieces.join(distinct.where("n > 1").select("key", "s"), ["key", "s"], "left_semi")
+        known = known.unionByName(equal.select("h", "c", "a", (F.col("a") + F.col("m")).alias("b")))
+        size = distinct.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
+        left = cut(distinct.select("key", "s", "one.*").join(size, "key"))
+        fit = left.where(F.col("contexts") <= GROUP)
+        # a k-gram that comes again in a piece may align it in another way
+        again = F.expr(f"position(substring(s, g + 1, {GRAM}), s, g + 2) > 0")
+        ready = ready.unionByName(fit.select("key", "h", "c", "a", "m", "g", again.alias("inner"), "s"))
+        large = left.where(F.col("contexts") > GROUP).select("h", "c", "a", "m", "g", "lo", "hi", "s")
+    return ready, known
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,36 +369,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = _spread(docs, id_col, text_col)
     hashes = cut(repeated_hashes(rows))
     found = occurrences(rows, bitmap(hashes, "h")).join(hashes, "h", "left_semi")
-    contexts = cut(found.groupBy("h", "c").agg(F.first("s").alias("s"), F.first("m").alias("m"), F.first("inner").alias("inner"), F.count("*").alias("n")))
-    places = found.select("h", "c", "id", "t", "p")
-    groups = contexts.groupBy("h").agg(F.count("*").alias("contexts"))
-    several = contexts.join(groups, "h").where("contexts > 1 OR inner AND n = 1").select("h", "c", "m", "s", "contexts")
-    whole = contexts.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("a"), F.col("m").alias("b"))
-    few = several.where(F.col("contexts") <= HOT_CONTEXTS).select("h", "c", "m", "s").repartition("h").sortWithinPartitions("h")
-    runs = few.mapInArrow(_kernel, "h bigint, c bigint, a bigint, b bigint")
-    windows = several.where(F.col("contexts") > HOT_CONTEXTS).select("h", "c", "m", "s").mapInArrow(_windows, "h bigint, c bigint, a bigint, w bigint")
-    often = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    hot = windows.join(often, ["h", "w"]).select("h", "c", "a", (F.col("a") + 1).alias("b"))
-    known = whole.unionByName(runs).unionByName(hot).groupBy("h", "c").agg(F.collect_list(F.struct("a", "b")).alias("r"))
-    covered = places.join(known, ["h", "c"]).select("id", "t", F.transform("r", lambda x: F.struct((F.col("p") + x["a"]).alias("a"), (F.col("p") + x["b"] + LENGTH - 1).alias("b"))).alias("r"))
-    return covered.groupBy("id", "t").agg(F.flatten(F.collect_list("r")).alias("spans"))
-
-
-def text_hash(rows: DataFrame, touched: np.ndarray | None = None) -> DataFrame:
-    """rows with t, the hash of the text, and whether the filter holds it."""
+    contexts = cut(found.groupBy("h", "c", "m", "g", "inner", "s").agg(F.count("*").alias("n")))
+    ready, known = grouped(contexts)
+    runs = ready.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_kernel), "h bigint, c bigint, a bigint, b bigint")
+    told = known.unionByName(runs).groupBy("h", "c").agg(F.collect_set(F.struct("a", "b")).alias("r"))
+    shift = F.transform("r", lambda x: F.struct((F.col("p") + x["a"]).alias("a"), (F.col("p") + x["b"] + LENGTH - 1).alias("b")))
+    covered = found.select("h", "c", "id", "t", "p").join(told, ["h", "c"]).select("id", "t", shift.alias("r"))
+    return covered.groupBy("id", "t").agg(F.flatten(F.collect_set("r")).alias("spans"))
+
+
+def text_digest(rows: DataFrame, touched: np.ndarray) -> DataFrame:
+    """rows with t, the digest of the text, and whether the filter holds it."""
     shared = rows.sparkSession.sparkContext.broadcast(touched)
     schema = T.StructType([*rows.schema.fields, T.StructField("t", T.LongType()), T.StructField("touched", T.BooleanType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for i, j in chunks(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                total, inverse = prefix_hash(data[offsets[i] : offsets[j]])
-                t = mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(signed(t)), pa.array(marked(shared.value, t))], names=schema.names)
+            t = np.array([_digest(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t), pa.array(marked(shared.value, t.view(np.uint64)))], names=schema.names)
 
-    return bounded_batches(rows).mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(tidy(digested), schema)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +413,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, kept (the remaining bytes), n_bytes, n_removed, n_spans."""
     rows = _spread(docs, id_col, text_col)
     spans = cut(repeats(docs, id_col, text_col))
-    told = text_hash(rows, bitmap(spans, "t"))
+    told = text_digest(rows, bitmap(spans, "t"))
     schema = T.StructType([rows.schema["id"], T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
     hit = told.where("touched").alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id AND d.t = s.t"), "left").select("d.id", "d.text", "s.spans")
     none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    return hit.unionByName(told.where("NOT touched").select("id", "text", none)).mapInArrow(_strip, schema)
+    return hit.unionByName(told.where("NOT touched").select("id", "text", none)).mapInArrow(tidy(_strip), schema)

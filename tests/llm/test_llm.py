@@ -154,8 +154,10 @@ def test_repeats_kernel_against_windows():
 @pytest.mark.parametrize("hot", [None, 1])
 def test_suffix_dedup_against_windows(spark, small, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
-    texts = [t for _, t in small[:60]] + ODD + ["ab" * 300, "q" * 250, "z" * 200, "z" * 199]
+        monkeypatch.setattr(suffix_dedup, "GROUP", hot)
+    passage = " ".join(f"shared{k * k}" for k in range(40))  # many texts hold it between other surroundings
+    around = [f"{i * 7919} and {i} " * (3 + i % 9) + passage[: 260 + i % 70] + f" {i} or {i * 31}" * (2 + i % 8) for i in range(40)]
+    texts = [t for _, t in small[:60]] + ODD + ["ab" * 300, "q" * 250, "z" * 200, "z" * 199] + around + [passage * 3]
     raw = [(t or "").encode() for t in texts]
     seen = Counter(x[i : i + 200] for x in raw for i in range(len(x) - 199))
     got = {r["id"]: r for r in suffix_dedup.remove_repeats(_docs(spark, texts)).collect()}
@@ -276,3 +278,22 @@ def test_pipeline_against_its_operators(spark):
     want = {i for i in ids if find(i) == i and not any(b and len(b & sets[i]) >= 0.75 * len(b) for b in items)}
     got = {r["doc_id"]: r["decoded"] for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert set(got) == want and all(got[i] == left[i] for i in want)
+
+
+def test_windows_of_a_long_text_have_the_fragments_of_the_whole(monkeypatch):
+    rng = random.Random(8)
+    data = np.frombuffer(bytes(rng.choice(b"abcd ") for _ in range(6_000)) + b"z" * 700, np.uint8)
+    at = np.array([0, len(data)])
+
+    def hashes(size):
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", size)
+        out = {}
+        for part, (h, _, p, m, g, _), shift in suffix_dedup.windowed(data, at):
+            for k in range(len(h)):
+                for i in range(m[k]):
+                    assert p[k] + shift + i not in out
+                    out[int(p[k]) + shift + i] = int(h[k])
+                assert 0 <= g[k] <= m[k] + suffix_dedup.LENGTH - suffix_dedup.GRAM - 1 and p[k] + m[k] + 199 <= len(part)
+        return out
+
+    assert hashes(700) == hashes(1 << 20) and len(hashes(700)) == len(data) - 199
