@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a numpy kernel takes at once; a longer single text is taken whole.
@@ -85,6 +85,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh_name(prefix: str) -> str:
     return f"_{prefix}_{uuid.uuid4().hex[:8]}"
 

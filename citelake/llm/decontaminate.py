@@ -9,8 +9,8 @@ under MISS. Candidates are verified on the full shingle sets of item and documen
 Items go to the executors in blocks of bounded size; each block meets all documents in one narrow pass.
 
 Defined results: words, lower-casing and shingles as in ``common`` (five words; a shorter text is one shingle). Null or
-empty items and documents match nothing. Repeated items match each on its own; repeated documents likewise. ``keep``
-passes rows and columns through unchanged.
+empty items and documents match nothing. Repeated items match each on its own; repeated documents likewise; ids may be
+null and of any type. Empty tables give empty tables. ``keep`` passes rows and columns through unchanged.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from citelake.llm.common import bounded_batches, chunks, mix, shingles, text_buffer, tidy
+from citelake.llm.common import bounded_batches, chunks, column, mix, shingles, text_buffer, tidy
 
 THRESHOLD = 0.75
 #: Chance of missing an item at the threshold's containment.
@@ -104,9 +105,9 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, threshold: float, block_bytes: int = BLOCK_BYTES) -> Iterator[ItemIndex]:
+def item_blocks(items: DataFrame, id_col: Column, text_col: str, threshold: float, block_bytes: int = BLOCK_BYTES) -> Iterator[ItemIndex]:
     """The items in blocks of about block_bytes of text; more items make more blocks, not larger ones."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    rows = items.select(id_col, column(text_col).alias("text")).where(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
@@ -116,10 +117,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, threshold: float,
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, n_shingles, n_shared, containment."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("n_shared", T.LongType())])
+    kind = to_arrow_type(items.schema[item_id].dataType)
     found = None
-    for index in item_blocks(items, item_id, item_text, threshold, block_bytes):
+    for index in item_blocks(items, column(item_id).alias("id"), item_text, threshold, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -128,7 +130,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_c
                     hits = index.search(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     if hits:
                         ids = batch.column(0).take(pa.array([i + t for t, *_ in hits]))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for _, k, _, _ in hits]).cast(pa.int64() if isinstance(index.ids[0], int) else pa.string()), pa.array([n for _, _, n, _ in hits], pa.int64()), pa.array([s for *_, s in hits], pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_shared"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[k] for _, k, _, _ in hits], kind), pa.array([n for _, _, n, _ in hits], pa.int64()), pa.array([s for *_, s in hits], pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
         part = bounded_batches(rows).mapInArrow(tidy(run), schema)
         found = part if found is None else found.unionByName(part)
@@ -138,7 +140,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_c
 def keep(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that contain no item; narrow."""
     k = docs.columns.index(text_col)
-    for index in item_blocks(items.withColumn("_n", F.lit(0)), "_n", item_text, threshold, block_bytes):
+    for index in item_blocks(items, F.lit(0).alias("id"), item_text, threshold, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

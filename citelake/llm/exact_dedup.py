@@ -6,7 +6,8 @@ most 2 / counters of the rows and use an ordinary shuffle.
 
 Defined results: a null text counts as empty; rows with a null id stay in their group but never win it while another
 row has an id; rows that repeat an id within a group share its decision in ``mark`` and one of them survives in
-``keep``; an empty table gives an empty table; extra columns pass through ``keep`` unchanged.
+``keep``, null ids counting as one id; an empty table gives an empty table; extra columns, whatever their names, pass
+through ``keep`` unchanged.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelake.llm.common import cut
+from citelake.llm.common import column, cut, fresh_name
 
 #: Counters of a Misra-Gries summary: digests in more than 2 / COUNTERS of all rows are surely found.
 COUNTERS = 1024
@@ -40,8 +41,12 @@ def _summaries(counters: int):
     return run
 
 
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(column(text_col), F.lit("")).cast("binary"), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest"))
+    return docs.select(column(id_col).alias("id"), _digest(text_col).alias("digest"))
 
 
 def heavy_digests(table: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -75,8 +80,9 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row of each group of equal texts, all columns: heavy losers go map-side, the rest meet in one shuffle."""
     table = cut(digests(docs, id_col, text_col))
-    heavy = cut(heavy_digests(table, counters)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    light = marked.join(F.broadcast(heavy), marked["_sha"] == heavy["_digest"], "left").where(F.col("_digest").isNull() | F.col(id_col).eqNullSafe(F.col("_keep_id")))
-    first = Window.partitionBy("_sha").orderBy(F.col(id_col).desc_nulls_last())
-    return light.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*[docs.columns[k] for k in range(len(docs.columns))])
+    sha, often, best, place = (fresh_name(k) for k in ("sha", "often", "best", "place"))
+    heavy = cut(heavy_digests(table, counters)).select(F.col("digest").alias(often), F.col("keep_id").alias(best))
+    marked = docs.withColumn(sha, _digest(text_col)).join(F.broadcast(heavy), F.col(sha) == F.col(often), "left")
+    light = marked.where(F.col(often).isNull() | column(id_col).eqNullSafe(F.col(best)))
+    first = Window.partitionBy(sha).orderBy(column(id_col).desc_nulls_last())
+    return light.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(sha, often, best, place)

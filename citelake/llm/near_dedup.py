@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import bitmap, bounded_batches, chunks, cut, marked, mix, shingles, signed, text_buffer, tidy
+from citelake.llm.common import bitmap, bounded_batches, chunks, column, cut, fresh_name, marked, mix, shingles, signed, text_buffer, tidy
 from citelake.llm.components import components
 
 #: Partial keys in each of the two collections, and minhashes in a partial key.
@@ -62,7 +62,7 @@ def partial_keys(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, number of shingles, 128-bit digest of the set, partial keys of both collections."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     schema = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("b", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, s): the shingle set, as bytes, of every text that is a member of a table."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(F.xxhash64("id").alias("p")), "p"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("p")).where("id IS NOT NULL")
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), F.xxhash64(column(id_col)).alias("p")).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,5 +281,6 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, all columns: one id of each component."""
-    gone = mark(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = fresh_name("gone")
+    out = mark(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, column(id_col) == F.col(gone), "left_anti")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import cut, fresh_name
+from citelake.llm.common import column, cut, fresh_name
 
 # What the four kinds look like. Possessive quantifiers and the look at the character before change no
 # match but keep the search linear and free of recursion.
@@ -113,7 +113,7 @@ def _term_spans(text: Column, terms: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_joint: int = MIN_JOINT) -> DataFrame:
     """One row per document: doc_id, base and terms, arrays of struct<start, rank, end, kind, value>."""
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     based = text.withColumn("base", base_spans(F.col("text")))
     # texts without an entity can have no spans of terms and stay behind
     rows = cut(based.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
@@ -148,15 +148,16 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def sanitize(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of its row in ``find`` generalised to its kind in brackets; overlapping spans merge into the first."""
-    key = fresh_name("id")
-    marks = spans.groupBy(F.col("doc_id").alias(key)).agg(F.first(F.array_sort(F.concat("base", "terms"))).alias("_spans"))
+    key, held = fresh_name("id"), fresh_name("spans")
+    body = column(text_col)
+    marks = spans.groupBy(F.col("doc_id").alias(key)).agg(F.first(F.array_sort(F.concat("base", "terms"))).alias(held))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        kept = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        kept = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1))))
-    joined = docs.join(marks, docs[id_col] == marks[key], "left")
-    return joined.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).drop(key, "_spans")
+    clean = F.aggregate(held, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.lit(2**31 - 1))))
+    joined = docs.join(marks, column(id_col) == F.col(key), "left")
+    return joined.withColumn(text_col, F.when(F.size(held) > 0, clean).otherwise(body)).drop(key, held)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import CHUNK_BYTES, bitmap, bounded_batches, chunks, cut, marked, mix, prefix_hash, signed, text_buffer, tidy
+from citelake.llm.common import CHUNK_BYTES, bitmap, bounded_batches, chunks, column, cut, marked, mix, prefix_hash, signed, text_buffer, tidy
 
 LENGTH = 200
 GRAM = 48
@@ -214,7 +214,7 @@ def repeated_starts(strings: list[bytes], starts: list[int], length: int = LENGT
 
 
 def _spread(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
 
 
 def repeated_hashes(rows: DataFrame) -> DataFrame:

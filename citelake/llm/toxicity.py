@@ -6,7 +6,8 @@ each bucket and a low-rank weight for each pair of buckets, so that terms that a
 A bucket that the sample does not hold has no weight.
 
 Defined results: a null or empty text scores the bias; without labelled rows of both classes every score is the prior
-(0 without any rows); a null id is held out by no fold (held_out null); rows and extra columns pass through ``keep``.
+(0 without any rows); a null id is held out by no fold (held_out null); of rows that repeat a labelled id one is learned
+from; rows and extra columns, whatever their names, pass through ``keep``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def _descend(slot: np.ndarray, at: np.ndarray, y: np.ndarray, bias: float, param
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, folds: int = FOLDS) -> Model:
     """Fit on at most max_rows labelled documents outside fold 0."""
     chosen = one_per_id(labels, id_col, label_col).where(fold("label_id", folds) != 0).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    sample = cut(docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label"))
+    sample = cut(docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

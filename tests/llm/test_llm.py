@@ -297,3 +297,58 @@ def test_windows_of_a_long_text_have_the_fragments_of_the_whole(monkeypatch):
         return out
 
     assert hashes(700) == hashes(1 << 20) and len(hashes(700)) == len(data) - 199
+
+
+HTML_CASES = {
+    "<tr>loose<td>a</td><div>divtext</div>": "loose\na\ndivtext",
+    "<table><tr>one<td>a</td><div>two</div></tr>three<tbody>four<tr><form><td>b</td><td>c</td></form></tr></table>": "one\ntwo\nthreefour\na\nb | c",
+    "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>": "a | b | c\n  | d | e",
+    "<table><tr><th colspan=2>both<th>z<tr><td>left<td>r<td>3</table>": "both     | z\nleft | r | 3",
+    "<table><tr hidden><td>no</td>out<tr><td>yes</table>": "out\nyes",
+    "<details><summary>s</summary>gone</details><details open>seen</details>": "s\nseen",
+    '<p style="visibility:hidden">x<b style="visibility:visible">y</b></p>': "y",
+    "<svg><text>in</text><title>no</title><path d='x'/></svg> after": "in after",
+    '<a href="x"">t</a> <a title="1 > 0">u</a>': "t u",
+    "a < b <3 <!-- c --> d <!x> e <?y> f </ g": "a < b <3 d e f",
+    "<p>a<div>b</p>c": "a\n\nb\n\nc",
+    "x<!-- never closed": "x",
+    "<ul><li>a<ul><li>b</ul><li>c</ul>": "- a\n  - b\n- c",
+    "<ul>" * 200 + "<li>deep": "",
+}
+
+
+def test_html_cases():
+    for page, want in HTML_CASES.items():
+        got = html_text.to_text(page)
+        assert got == want if want else got.endswith("- deep") and len(got) < 60, page
+
+
+HOSTILE = {
+    "unmatched ends": "<b>" * 40_000 + "</i>" * 40_000, "no ends": "<a " * 300_000, "deep lists": "<ul><li>x" * 100_000,
+    "rules": "<b>" * 50_000 + "<hr>" * 50_000, "items": "<b>" * 50_000 + "<li></li>" * 50_000, "quotes": '<a "' * 200_000 + ">",
+    "scripts": "<script>" + "</script " * 100_000, "tables": "<table><tr><td>" * 60_000 + "x", "scope": "<b><table><td>" + "<i>" * 40_000 + "</b>" * 40_000,
+    "comments": "<!--" * 250_000, "wide": "<table><tr><td>" + "x" * 300_000 + "<tr><td>a<td>b" * 40_000, "loose": "<table>" + "<div>" * 60_000 + "<td>x" * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_takes_time_in_proportion(name):
+    import time
+
+    began = time.process_time()
+    html_text.to_text(HOSTILE[name])
+    assert time.process_time() - began < 8  # seconds; a second or two on an idle machine
+
+
+def test_html_shows_every_string_of_malformed_tables():
+    rng = random.Random(6)
+    tags = "table tr td th tbody thead div p b a form ul li h2 span section".split()
+    for _ in range(300):
+        page, words = [], []
+        for k in range(rng.randrange(5, 60)):
+            tag = rng.choice(tags)
+            page.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>"]))
+            if rng.random() < 0.6:
+                words.append(f"word{k}x")
+                page.append(f" {words[-1]} ")
+        assert sorted(html_text.to_text("".join(page)).replace("|", " ").replace("- ", " ").split()) == sorted(words)
