@@ -5,8 +5,8 @@ pair of its tokens is compatible, that is when the pair's bytes encode to that p
 at once in a table of judged pairs. Only pre-tokens with a failing pair go through exact merging.
 
 Defined results: a null text counts as empty and gives no ids; an empty id list decodes to the empty text; ids outside
-the vocabulary are skipped in decoding; byte sequences that are not UTF-8 decode with U+FFFD; rows and extra columns
-pass through unchanged.
+the vocabulary are skipped in decoding; byte sequences that are not UTF-8 decode with U+FFFD; rows, repeated ones too,
+and extra columns pass through unchanged, but a column of an output's name gives way; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -194,23 +194,30 @@ def tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with an array<int> column of token ids; narrow, one batch in memory at a time."""
-    tmp = fresh_name("ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField(tmp, T.ArrayType(T.IntegerType(), False), False)])
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """docs with an array<int> column of token ids, and, where it is named, a column of what the ids decode to; narrow,
+    one batch in memory at a time."""
+    names = [fresh_name("ids"), *([fresh_name("text")] if decoded else [])]
+    kinds = [T.ArrayType(T.IntegerType(), False), T.StringType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, kind, False) for c, kind in zip(names, kinds, strict=False))])
     k = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
             texts = batch.column(k)
             _, offsets = text_buffer(texts)
             for i, j in chunks(offsets):
                 ids, at = bpe.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
-                made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, made], names=[*batch.schema.names, tmp])
+                made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    made.append(bpe.decode(ids, at).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *made], names=[*batch.schema.names, *names])
 
-    return _renamed(bounded_batches(docs).mapInArrow(tidy(run), schema), docs, tmp, out)
+    made = bounded_batches(docs).mapInArrow(tidy(encoded), schema)
+    for tmp, name in zip(names, (out, decoded), strict=False):
+        made = _renamed(made, docs, tmp, name)
+    return made
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -219,7 +226,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "d
     schema = T.StructType([*docs.schema.fields, T.StructField(tmp, T.StringType(), False)])
     k = docs.columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
             lists = batch.column(k)
@@ -229,9 +236,10 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "d
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets, 1 << 19):
                 made = bpe.decode(ids[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, made.cast(pa.string())], names=[*batch.schema.names, tmp])
+                columns = [*batch.slice(i, j - i).columns, made.cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, tmp])
 
-    return _renamed(bounded_batches(docs).mapInArrow(tidy(run), schema), docs, tmp, out)
+    return _renamed(bounded_batches(docs).mapInArrow(tidy(restored), schema), docs, tmp, out)
 
 
 def _renamed(made: DataFrame, docs: DataFrame, tmp: str, out: str) -> DataFrame:

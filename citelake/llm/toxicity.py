@@ -103,7 +103,12 @@ def _fit(slot: np.ndarray, at: np.ndarray, y: np.ndarray, size: int) -> tuple[fl
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias, params = float(np.log(rate / (1 - rate))), np.zeros((size, 1 + FACTORS), np.float32)
     params[:, 1:] = rng.normal(0, 0.01, (size, FACTORS))
-    n, n1 = np.bincount(slot, minlength=size), np.bincount(slot, np.repeat(y, np.diff(at)), size)
+    n, n1 = np.zeros(size), np.zeros(size)
+    for k in range(0, len(y), 512):  # texts at a time: bincount takes 8 bytes for each of their buckets
+        texts = slice(k, k + 512)
+        own = slot[at[k] : at[min(k + 512, len(y))]]
+        n += np.bincount(own, minlength=size)
+        n1 += np.bincount(own[np.repeat(y[texts] > 0, np.diff(at[k : min(k + 512, len(y)) + 1]))], minlength=size)
     p = (n + 1) / (len(y) + 2)
     z = (n1 / y.sum() - (n - n1) / (len(y) - y.sum())) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum())))
     clear = (np.abs(z) >= MIN_Z)[slot]
