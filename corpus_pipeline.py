@@ -43,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids and the text that they decode to; an empty text has no tokens."""
     path = tokenizer_path(TOKENIZER)
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    return bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded").drop("text")
 
 
 STAGES = [
