@@ -22,7 +22,7 @@ def register(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from citelake.plans import graph_queries, records, text_queries  # noqa: F401
+    from citelake.plans import composed, graph_queries, records, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

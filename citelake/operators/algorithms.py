@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,47 +12,42 @@ from pyspark.sql import functions as F
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85, personal: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
     """(id, score), summing to 1. edges: src, dst, optional weight. Dangling mass goes to the teleport vector.
 
-    With a tolerance the steps end, tried at every fifth, when the scores of a step differ from those before it by less
-    than tolerance times the number of nodes in all; iterations is then the limit.
-
-    Ranks and edges keep one partitioning by id; the dangling sum is a one-row aggregate inside the same plan.
+    Every step is one materialised table, so its plan is as long as the first one's: edges are joined with the scores of
+    their sources, sums by target with the scores before; the dangling sum of a step is one number, taken from it. With a
+    tolerance the steps end when all scores together moved by less than tolerance times the number of nodes.
     """
     edges = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     edges = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("part")).repartition("src").persist()
     if personal is None:
         n = nodes.count()
-        base = nodes.select("id", F.lit(1.0 / n).alias("p"))
+        base = nodes.select("id", F.lit(1.0 / n if n else 0.0).alias("p"))
     else:
         k = personal.count()
         base = nodes.join(personal.select("id", F.lit(1.0 / k).alias("q")), "id", "left").select("id", F.coalesce("q", F.lit(0.0)).alias("p"))
-    base = base.join(total.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", "p", F.coalesce("dangling", F.lit(True)).alias("dangling")).repartition("id").persist()
-    ranks = base.select("id", F.col("p").alias("score"), "dangling", "p")
-    for step in range(iterations):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+    known = edges.select(F.col("src").alias("id"), F.lit(False).alias("dangling")).distinct()
+    ranks = checkpointed(base.join(known, "id", "left").select("id", F.col("p").alias("score"), F.coalesce("dangling", F.lit(True)).alias("dangling"), "p", F.lit(0.0).alias("moved")))
+    for _ in range(iterations):
+        lost = ranks.where("dangling").agg(F.sum("score")).first()[0] or 0.0
         given = edges.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("part")).alias("given"))
-        score = damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")
-        before = ranks.select("id", F.col("score").alias("before"))
-        ranks = base.join(given, "id", "left").join(F.broadcast(lost)).select("id", score.alias("score"), "dangling", "p")
-        if step % 5 == 4:
-            if tolerance is None:
-                ranks = checkpointed(ranks)
-                continue
-            both = checkpointed(ranks.join(before, "id"))
-            ranks = both.drop("before")
-            moved = both.agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("moved"), F.count("*").alias("n")).first()
+        score = damping * (F.coalesce("given", F.lit(0.0)) + F.lit(lost) * F.col("p")) + (1 - damping) * F.col("p")
+        ranks = checkpointed(ranks.join(given, "id", "left").select("id", score.alias("now"), "dangling", "p", F.abs(score - F.col("score")).alias("moved")).withColumnRenamed("now", "score"))
+        if tolerance is not None:
+            moved = ranks.agg(F.sum("moved").alias("moved"), F.count("*").alias("n")).first()
             if not moved["n"] or moved["moved"] < tolerance * moved["n"]:
                 break
+    edges.unpersist()
     return ranks.select("id", "score")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a temporary one only where none is configured."""
-    import tempfile
-
+    """Cut the lineage in the shared checkpoint folder; only a local session gets one of its own where none is named."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citelake-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citelake-"))
     return df.checkpoint()
 
 
@@ -66,6 +64,23 @@ def hops(edges: DataFrame, source: int, limit: int) -> DataFrame:
     return seen
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that every id of the undirected edges (a, b) reaches.
+
+    Each round takes the least label around a node, then the label of that label, so long chains take few rounds.
+    """
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        now = labels.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("before"))
+        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("further"))
+        now = checkpointed(now.join(jump, "c", "left").select("id", F.least("c", "further").alias("component"), "before"))
+        labels = now.drop("before")
+        if now.where("component <> before").isEmpty():
+            return labels
+
+
 def similar(edges: DataFrame, node: int, k: int, outgoing: bool = True) -> DataFrame:
     """(id, shared, jaccard): nodes that share references (outgoing) or citers with a node."""
     me, of = ("src", "dst") if outgoing else ("dst", "src")
@@ -94,11 +109,78 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
         votes = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("a").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("best"))
         labels = checkpointed(best.select(F.col("a").alias("id"), (-F.col("best.l")).alias("label")))
-    from pyspark.sql import Window
+    return by_size(labels, "label")
+
+
+def by_size(labels: DataFrame, column: str) -> DataFrame:
+    """(id, community): communities numbered from 0 by size, then least member. Only the sizes are gathered and ordered."""
+    sizes = labels.groupBy(column).agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), F.col("least").alias("l"))))
+    places = sizes.agg(order.alias("all")).select(F.posexplode("all").alias("community", "x")).select("community", F.col("x.l").alias("least"))
+    numbered = sizes.join(places, "least").select(column, "community")
+    return labels.join(numbered, column).select("id", "community")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 6, seed: int = 42) -> DataFrame:
+    """(id, community): Louvain over undirected weighted edges (a, b, weight) in both directions, numbered by size.
+
+    In a round every node sees the communities around it as they were before and half of the nodes, chosen by a hash of
+    node and round, move to the one with the highest gain in modularity (ties to the least), if that beats staying. Half
+    of them standing still is what keeps neighbours from swapping places. A level ends when the modularity no longer
+    grows; its communities are the nodes of the next. Every round is one materialised table, so results are the same on
+    every run.
+    """
+    graph = checkpointed(edges.groupBy("a", "b").agg(F.sum("weight").cast("double").alias("w")))
+    m2 = graph.agg(F.sum("w")).first()[0] or 0.0
+    whole = checkpointed(graph.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
+    if not m2:
+        return by_size(whole, "c")
+    quality = None
+    for level in range(levels):
+        degree = checkpointed(graph.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+        state = checkpointed(degree.withColumn("c", F.col("id")))
+        best, still = _modularity(graph, state, m2, resolution), 0
+        kept = state
+        for turn in range(rounds):
+            total = state.groupBy("c").agg(F.sum("k").alias("t"))
+            around = graph.where("a <> b").join(state.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("e"))
+            own = state.select("id", "k", F.col("c").alias("own"))
+            seen = around.unionByName(state.select("id", "c", F.lit(0.0).alias("e"))).groupBy("id", "c").agg(F.sum("e").alias("e"))
+            rest = F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("e") - resolution * F.col("k") * rest / m2, 9)
+            rated = seen.join(own, "id").join(total, "c").withColumn("gain", gain)
+            pick = F.min(F.struct((-F.col("gain")).alias("g"), "c"))["c"].alias("to")
+            stay = F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay")
+            moves = rated.groupBy("id", "k", "own").agg(pick, stay, F.max("gain").alias("top"))
+            turned = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), "id"), F.lit(2)) == 0
+            state = checkpointed(moves.select("id", "k", F.when(turned & (F.col("top") > F.col("stay")), F.col("to")).otherwise(F.col("own")).alias("c")))
+            now = _modularity(graph, state, m2, resolution)
+            if now > best + 1e-7:
+                best, kept, still = now, state, 0
+            elif (still := still + 1) == 2:
+                break
+        if quality is not None and best <= quality + 1e-7:
+            break
+        quality = best
+        names = kept.select(F.col("id").alias("c"), F.col("c").alias("to"))
+        whole = checkpointed(whole.join(names, "c").select("id", F.col("to").alias("c")))
+        a, b = kept.select(F.col("id").alias("a"), F.col("c").alias("ca")), kept.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+        graph = checkpointed(graph.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    return by_size(whole, "c")
+
+
+def _modularity(graph: DataFrame, state: DataFrame, m2: float, resolution: float) -> float:
+    a, b = state.select(F.col("id").alias("a"), F.col("c").alias("ca")), state.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    inside = graph.join(a, "a").join(b, "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0.0
+    squares = state.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return inside / m2 - resolution * squares / (m2 * m2)
+
 
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    ranked = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "least")) - 1)
-    return labels.join(ranked.select("label", "community"), "label").select("id", "community")
+def backend(edges: int, asked: str = "auto", limit: int = 5_000_000) -> str:
+    """``local`` (arrays in one task for each source) or ``distributed``, by the number of edges unless one is asked for."""
+    if asked not in ("auto", "local", "distributed"):
+        raise ValueError("backends are auto, local and distributed")
+    return asked if asked != "auto" else "local" if edges <= limit else "distributed"
 
 
 def sources(nodes: DataFrame, exact: int = 5000, sample: int = 500, seed: int = 42) -> list[int]:
@@ -110,16 +192,14 @@ def sources(nodes: DataFrame, exact: int = 5000, sample: int = 500, seed: int =
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: list[int], parallel: int = 16) -> DataFrame:
     """(id, score): shortest-path betweenness of the undirected graph (a, b), normalised, from the given sources.
 
-    Sources are dealt to tasks; each holds the adjacency as arrays (checked: at most 50 million edges) and runs one
-    breadth-first pass and one accumulation per source; contributions are summed by an aggregation.
+    Sources are dealt to tasks; each holds the adjacency as arrays (8 bytes an edge direction) and runs one breadth-first
+    pass and one accumulation per source; contributions are summed by an aggregation.
     """
     import numpy as np
     import pandas as pd
 
     spark = nodes.sparkSession
     ids = np.sort(nodes.select("id").toArrow().column(0).to_numpy())
-    if edges.count() > 50_000_000:
-        raise ValueError("too many edges for one task; sample the graph first")
     pairs = edges.toArrow()
     a, b = np.searchsorted(ids, pairs.column("a").to_numpy()), np.searchsorted(ids, pairs.column("b").to_numpy())
     order = np.argsort(a, kind="stable")

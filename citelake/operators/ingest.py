@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 IDENTIFIERS = ("doi", "openalex_id", "arxiv_id", "s2_id", "seed_key")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, first: tuple[str, ...] = (), last: tuple[str, ...] = (), union: tuple[str, ...] = (), any_true: tuple[str, ...] = ()) -> DataFrame:
-    """Full outer merge by key: ``first`` keeps the old value, ``last`` takes the new one, ``union`` joins arrays."""
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], first: tuple[str, ...] = (), last: tuple[str, ...] = (), union: tuple[str, ...] = (), any_true: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """Full outer merge by key: ``first`` keeps the old value, ``last`` takes the new one, ``union`` joins arrays.
+
+    Rows of ``new`` that share a key are merged by the same rules, in the order of a column, else of their values.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    pick = lambda f, c: f(F.struct(*([F.col(order)] if order else []), F.col(c).alias("v")), F.col(c).isNotNull())["v"]
+    least, most = lambda x, there: F.min(F.when(there, x)), lambda x, there: F.max(F.when(there, x))
+    merged = [*(pick(least, c).alias(c) for c in first), *(pick(most, c).alias(c) for c in last), *(F.max(c).alias(c) for c in any_true)]
+    merged += [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in union]
+    new = new.groupBy(*keys).agg(*merged) if merged else new.select(*keys).distinct()
     a, b = old.alias("a"), new.alias("b")
-    pick = [F.coalesce(f"a.{key}", f"b.{key}").alias(key)]
-    pick += [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in first]
-    pick += [F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in last]
-    pick += [F.array_sort(F.array_union(F.coalesce(f"a.{c}", F.array()), F.coalesce(f"b.{c}", F.array()))).alias(c) for c in union]
-    pick += [(F.coalesce(f"a.{c}", F.lit(False)) | F.coalesce(f"b.{c}", F.lit(False))).alias(c) for c in any_true]
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*pick)
+    out = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys]
+    out += [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in first]
+    out += [F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in last]
+    out += [F.array_sort(F.array_union(F.coalesce(f"a.{c}", F.array()), F.coalesce(f"b.{c}", F.array()))).alias(c) for c in union]
+    out += [(F.coalesce(f"a.{c}", F.lit(False)) | F.coalesce(f"b.{c}", F.lit(False))).alias(c) for c in any_true]
+    return a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full").select(*out)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,18 +63,6 @@ def identifier_matches(records: DataFrame, nodes: DataFrame, identifiers: tuple[
     return hits.withColumn("_r", F.row_number().over(turn)).where("_r = 1").select("record", "node", "rank")
 
 
-def fuzzy_matches(records: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(record, node, score): same title key, years at most one apart, half of the authors shared or a near-exact title."""
-    from citelake.functions.normalize import author_overlap, title_similarity
-
-    a, b = records.alias("a"), nodes.where("NOT is_stub").alias("b")
-    pairs = a.join(b, F.col("a.title_key") == F.col("b.title_key")).where("a.id <> b.id AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 1)")
-    made = pairs.select(F.col("a.id").alias("record"), F.col("b.id").alias("node"), title_similarity(F.col("a.title_key"), F.col("b.title_key")).alias("sim"), author_overlap(F.col("a.authors"), F.col("b.authors")).alias("ov"), (F.col("a.year").isNotNull() & F.col("b.year").isNotNull()).alias("dated"))
-    score = F.when((F.col("sim") >= 0.95) & (F.col("ov") >= 0.5), 0.6 * F.col("sim") + 0.4 * F.col("ov")).when(F.col("ov").isNull() & (F.col("sim") >= 0.99) & F.col("dated"), 0.8 * F.col("sim"))
-    turn = Window.partitionBy("record").orderBy(F.desc("score"), "node")
-    return made.withColumn("score", score).where("score IS NOT NULL").withColumn("_r", F.row_number().over(turn)).where("_r = 1").select("record", "node", "score")
-
-
 def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
     """(src, dst, is_new): a reference resolves to the owner of its identifier, else to one stub for each identifier."""
     joined = refs.join(index, "value", "left")

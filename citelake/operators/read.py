@@ -118,14 +118,36 @@ def group_links(edges: DataFrame, members: DataFrame) -> DataFrame:
     return joined.select("g", "o", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("outgoing", "incoming")))
 
 
-def trends(topic_years: DataFrame, totals: DataFrame, window: int = 3, least: int = 3) -> DataFrame:
-    """Topics by growth of their share between two adjacent windows of years that end at the last year."""
+# Pseudo-papers of a window, growth from which a topic rises or declines, papers that make one emerging.
+SMOOTHING, RISING, DECLINING, EMERGING = 0.5, 1.5, 0.67, 2
+TREND_ORDER = ("emerging", "rising", "steady", "declining")
+
+
+def windows(topic_years: DataFrame, totals: DataFrame, window: int) -> DataFrame:
+    """(topic_id, total, recent, previous, all_recent, all_previous): papers of two adjacent windows that end at the last
+    year of all papers, of each topic and of all."""
     last = totals.agg(F.max("year").alias("last"))
     within = lambda lo, hi: (F.col("year") > F.col("last") - hi) & (F.col("year") <= F.col("last") - lo)
     part = lambda lo, hi: F.sum(F.when(within(lo, hi), F.col("papers")).otherwise(0))
     whole = totals.join(F.broadcast(last)).agg(part(0, window).alias("all_recent"), part(window, 2 * window).alias("all_previous"))
-    own = topic_years.join(F.broadcast(last)).groupBy("topic_id").agg(part(0, window).alias("recent"), part(window, 2 * window).alias("previous"))
-    share = lambda n, m: (F.col(n) + 0.5) / (F.col(m) + 0.5)
-    growth = F.when((F.col("recent") == 0) & (F.col("previous") == 0), 1.0).otherwise(share("recent", "all_recent") / share("previous", "all_previous"))
-    label = F.when((F.col("previous") == 0) & (F.col("recent") > 0), "emerging").when(F.col("growth") >= 1.2, "rising").when(F.col("growth") <= 0.8, "declining").otherwise("steady")
-    return own.where(F.col("recent") + F.col("previous") >= least).join(F.broadcast(whole)).withColumn("growth", growth).withColumn("label", label).select("topic_id", "recent", "previous", "growth", "label")
+    own = topic_years.join(F.broadcast(last)).groupBy("topic_id").agg(
+        F.sum("papers").alias("total"), part(0, window).alias("recent"), part(window, 2 * window).alias("previous"),
+        F.array_sort(F.collect_list(F.struct("year", "papers"))).alias("series"),
+    )
+    return own.join(F.broadcast(whole))
+
+
+def trends(topic_years: DataFrame, totals: DataFrame, window: int = 3, least: int = 2, limit: int = 30) -> DataFrame:
+    """The first topics by label, then growth of their smoothed share of the papers between two windows of years."""
+    own = windows(topic_years, totals, window).where(F.col("total") >= least)
+    share = lambda n, m: F.when(F.col(m) > 0, F.col(n) / F.col(m)).otherwise(0.0)
+    smooth = lambda n, m: (F.col(n) + SMOOTHING) / (F.col(m) + 2 * SMOOTHING)
+    still = (F.col("recent") == 0) & (F.col("previous") == 0)
+    growth = F.when(still, 1.0).otherwise(smooth("recent", "all_recent") / smooth("previous", "all_previous"))
+    rises = (F.col("growth") >= RISING) & (F.col("recent") > F.col("previous"))
+    falls = (F.col("growth") <= DECLINING) & (F.col("recent") < F.col("previous"))
+    label = F.when((F.col("previous") == 0) & (F.col("recent") >= EMERGING), "emerging").when(rises, "rising").when(falls, "declining").otherwise("steady")
+    made = own.withColumn("growth", growth).withColumn("label", label)
+    made = made.withColumns({"share_recent": share("recent", "all_recent"), "share_previous": share("previous", "all_previous")})
+    place = F.array_position(F.array(*map(F.lit, TREND_ORDER)), F.col("label"))
+    return made.orderBy(place, still, F.desc("growth"), F.desc("total"), "topic_id").limit(limit).drop("all_recent", "all_previous")

@@ -28,25 +28,58 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return said.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """(id, score): documents with all terms, best first. Statistics and the scan share one pass over the words."""
-    terms = sorted(set(terms))
-    said = docs.select("id", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
-    each = said.select("id", F.size("w").alias("len"), *_counts(terms))
+def bm25(docs: DataFrame, query: str | list[tuple[str, bool]], k: int, text: str = "text", stub: Column | None = None) -> DataFrame:
+    """(id, score): documents with all terms, best first; the last term of a text query is a prefix.
+
+    The words of each text are counted once and kept for both the statistics and the hits. As in an index scan, stubs are
+    left out after the k best are taken.
+    """
+    terms = parse_query(query) if isinstance(query, str) else sorted(set(query))
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    said = docs.select("id", *([stub.alias("stub")] if stub is not None else []), F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
+    each = said.select("id", *(["stub"] if stub is not None else []), F.size("w").alias("len"), *_counts(terms)).persist()
     stats = each.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
-    hits = each.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))
+    hits = each.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        score += F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        score += _weight(F.col(f"tf{i}"), F.col(f"df{i}"))
+    best = hits.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
+    return (best if stub is None else best.where(~F.coalesce("stub", F.lit(False)))).select("id", "score")
 
 
-def _counts(terms: list[str]) -> list[Column]:
-    def count(term: str) -> Column:
-        return F.size(F.filter("w", lambda w: w == F.lit(term)))
+def _weight(tf: Column, df: Column) -> Column:
+    return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
 
-    return [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
+
+def bm25_many(docs: DataFrame, queries: DataFrame, k: int, least_share: float = 0.0) -> DataFrame:
+    """(query, id, score, matched, asked, rank): the k best documents of each query (query, text) by the terms they share,
+    joined through an inverted index. matched of asked distinct terms occur; with less than a share none is ranked."""
+    index = tokens(docs).persist()
+    stats = index.select("id", "len").distinct().agg(F.avg("len").alias("mean"), F.count("*").alias("n"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    asked = tokens(queries.select(F.col("query").alias("id"), "text")).select(F.col("id").alias("query"), "term")
+    size = asked.groupBy("query").agg(F.count("*").alias("asked"))
+    hits = index.join(df, "term").join(asked, "term").join(F.broadcast(stats))  # one row
+    made = hits.withColumn("score", _weight(F.col("tf"), F.col("df"))).groupBy("query", "id").agg(F.sum("score").alias("score"), F.count("*").alias("matched"))
+    made = made.join(size, "query").where(F.col("matched") >= least_share * F.col("asked"))
+    turn = Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "id")
+    return made.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k)
+
+
+def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id): documents that have every term of a query."""
+    asked = tokens(queries.select(F.col("query").alias("id"), "text")).select(F.col("id").alias("query"), "term")
+    size = asked.groupBy("query").agg(F.count("*").alias("asked"))
+    met = tokens(docs).select("id", "term").join(asked, "term").groupBy("query", "id").agg(F.count("*").alias("matched"))
+    return met.join(size, "query").where("matched = asked").select("query", "id")
+
+
+def _counts(terms: list[tuple[str, bool]]) -> list[Column]:
+    def count(term: str, prefix: bool) -> Column:
+        return F.size(F.filter("w", lambda w: w.startswith(term) if prefix else w == F.lit(term)))
+
+    return [count(*t).alias(f"tf{i}") for i, t in enumerate(terms)]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -61,6 +94,68 @@ def knn(vectors: DataFrame, query: list[float], k: int, exclude: int | None = No
     return near.orderBy(F.desc("cosine"), "id").limit(k).withColumn("score", (1 + F.col("cosine")) / 2)
 
 
+def entities(kinds: dict[str, DataFrame], query: str, limit: int) -> DataFrame:
+    """(kind, id, title, score, papers, place): the best of each kind of (id, text, title, papers), ties to more papers.
+
+    Three times the limit are fetched of each kind before they are ordered, as of an index that ranks by score alone.
+    """
+    out = None
+    for kind, rows in kinds.items():
+        hits = bm25(rows, query, 3 * limit).join(rows.select("id", "title", "papers"), "id")
+        turn = Window.partitionBy("kind").orderBy(F.round("score", 9).desc(), F.desc("papers"), "id")
+        part = hits.withColumn("kind", F.lit(kind)).withColumn("place", F.row_number().over(turn)).where(F.col("place") <= limit)
+        part = part.select("kind", F.col("id").cast("string").alias("id"), "title", "score", "papers", "place")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+class SemanticUnavailable(ValueError):
+    """No stored vectors, or of another model than the one asked with."""
+
+
+def check_model(config: DataFrame | None, model: str, dimensions: int) -> None:
+    """config: one row (model, dimensions) or None."""
+    row = config.first() if config is not None else None
+    if row is None:
+        raise SemanticUnavailable("there are no embeddings yet")
+    if (row["model"], row["dimensions"]) != (model, dimensions):
+        raise SemanticUnavailable(f"embedded with {row['model']} of {row['dimensions']} dimensions, asked with {model} of {dimensions}")
+
+
+def check_dimensions(n: int) -> int:
+    if not 1 <= n <= 4096:
+        raise ValueError("vectors have 1 to 4096 dimensions")
+    return n
+
+
+def embedding_text(title: Column, abstract: Column, description: Column) -> Column:
+    """Title, empty line, abstract or else description; trimmed, 6000 characters at most."""
+    body = F.coalesce(F.nullif(abstract, F.lit("")), F.nullif(description, F.lit("")), F.lit(""))
+    return F.substring(F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), body)), 1, 6000)
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, config: DataFrame | None = None, model: str = "hashing-256", dimensions: int = 256, pool: int = 50, limit: int = 20, stub: Column | None = None) -> tuple[DataFrame, str | None]:
+    """(id, score, matched_by, keyword_rank, semantic_rank) by rank fusion of a pool of each, and a note if the semantic
+    half is missing. Queries under two characters find nothing."""
+    text = query.strip()
+    empty = docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    keyword = bm25(docs, text, pool, stub=stub) if len(text) > 1 else empty
+    keyword = ranked(keyword.withColumn("score", F.round("score", 9)))
+    semantic, note = ranked(empty), None
+    if len(text) > 1:
+        try:
+            if config is not None or vectors is None:
+                check_model(config, model, dimensions)
+            near = knn(vectors, hash_vector(text, dimensions), pool)
+            semantic = ranked(near.select("id", F.round("cosine", 9).alias("score")))
+        except SemanticUnavailable as e:
+            note = f"Keyword matches only: {e}"
+    both = fuse({"keyword": keyword, "semantic": semantic})
+    for name, rows in (("keyword", keyword), ("semantic", semantic)):
+        both = both.join(rows.select("id", F.col("rank").alias(f"{name}_rank")), "id", "left")
+    return both.orderBy(F.round("score", 12).desc(), "id").limit(limit), note
+
+
 def centroid(vectors: DataFrame, group: str) -> DataFrame:
     """(group, pos, value): mean of unit vectors, made a unit vector again."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))

@@ -193,6 +193,10 @@ def _topic_years(g: Graph) -> DataFrame:
     return g.papers.where(read.not_stub()).join(g.topics, F.col("paper_id") == F.col("id")).groupBy("topic_id", "year").agg(F.count_distinct("id").alias("papers"))
 
 
+def _year_totals(g: Graph) -> DataFrame:
+    return g.papers.where(read.not_stub() & F.col("year").isNotNull()).groupBy("year").agg(F.count("*").alias("papers"))
+
+
 @graph("e05_topic_years", sql("SELECT * FROM ty", TOPIC_YEARS))
 def _(g):
     return _topic_years(g)
@@ -226,9 +230,11 @@ def _(g):
     return g.topics.groupBy("topic_id").agg(F.count("*").alias("n")).where("n >= 50")
 
 
-@graph("e11_group_links", sql("SELECT a.g, a.o, a.n AS outgoing, coalesce(b.n, 0) AS incoming FROM l a LEFT JOIN l b ON a.g = b.o AND a.o = b.g", f"l AS ({LINKS})"))
+@graph("e11_group_links", sql("SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY outgoing + incoming DESC, o) AS INT) AS rank FROM (SELECT coalesce(a.g, b.o) AS g, coalesce(a.o, b.g) AS o, coalesce(a.n, 0) AS outgoing, coalesce(b.n, 0) AS incoming FROM l a FULL JOIN l b ON a.g = b.o AND a.o = b.g)) WHERE rank <= 10", f"l AS ({LINKS})"))
 def _(g):
-    return read.group_links(g.cites, _venue_members(g)).where("outgoing > 0")
+    """The ten other groups that a group has most links with, in either direction."""
+    made = read.group_links(g.cites, _venue_members(g)).withColumn("links", F.col("outgoing") + F.col("incoming"))
+    return read.top_per_group(made, "g", 10, F.desc("links"), F.col("o")).drop("links")
 
 
 @graph("e13_grouping_sets", sql("SELECT venue, year, count(*) AS n, round(avg(price), 4) AS mean FROM paper JOIN venue ON paper_id = id GROUP BY GROUPING SETS ((venue), (venue, year), ())"))
@@ -285,10 +291,10 @@ def _(g):
 
 
 def _rank_sql(weighted_edges: str, nodes: str, base: str, steps: int = 10) -> list[str]:
-    parts = [f"nd AS ({nodes})", f"we AS ({weighted_edges})", "tot AS (SELECT src, sum(weight) AS total FROM we GROUP BY 1)", "ed AS (SELECT we.src, dst, weight / total AS part FROM we JOIN tot ON we.src = tot.src)", f"bs AS ({base})", "r0 AS (SELECT id, p AS score FROM bs)"]
+    parts = [f"nd AS MATERIALIZED ({nodes})", f"we AS MATERIALIZED ({weighted_edges})", "tot AS MATERIALIZED (SELECT src, sum(weight) AS total FROM we GROUP BY 1)", "ed AS MATERIALIZED (SELECT we.src, dst, weight / total AS part FROM we JOIN tot ON we.src = tot.src)", f"bs AS MATERIALIZED ({base})", "r0 AS MATERIALIZED (SELECT id, p AS score FROM bs)"]
     for k in range(1, steps + 1):
         q = f"r{k - 1}"
-        parts.append(f"r{k} AS (SELECT bs.id, 0.85 * (coalesce(given, 0) + (SELECT coalesce(sum(score), 0) FROM {q} WHERE id NOT IN (SELECT src FROM tot)) * p) + 0.15 * p AS score FROM bs LEFT JOIN (SELECT dst AS id, sum(score * part) AS given FROM ed JOIN {q} ON {q}.id = src GROUP BY 1) x ON x.id = bs.id)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT bs.id, 0.85 * (coalesce(given, 0) + (SELECT coalesce(sum(score), 0) FROM {q} WHERE id NOT IN (SELECT src FROM tot)) * p) + 0.15 * p AS score FROM bs LEFT JOIN (SELECT dst AS id, sum(score * part) AS given FROM ed JOIN {q} ON {q}.id = src GROUP BY 1) x ON x.id = bs.id)")
     return parts
 
 
@@ -396,13 +402,29 @@ def _(g):
     return alg.similar(g.cites, 33, 5).select("id", F.format_string("shares %d of its references", "shared").alias("explanation"))
 
 
-@graph("k10_topic_trends", sql("""SELECT topic_id, recent, previous, round(growth, 6) AS growth, CASE WHEN previous = 0 AND recent > 0 THEN 'emerging' WHEN growth >= 1.2 THEN 'rising' WHEN growth <= 0.8 THEN 'declining' ELSE 'steady' END AS label FROM (
-SELECT topic_id, recent, previous, CASE WHEN recent = 0 AND previous = 0 THEN 1.0 ELSE ((recent + 0.5::DOUBLE) / (ar + 0.5)) / ((previous + 0.5) / (ap + 0.5)) END AS growth FROM
-(SELECT topic_id, CAST(sum(CASE WHEN year > l - 3 THEN papers ELSE 0 END) AS BIGINT) AS recent, CAST(sum(CASE WHEN year <= l - 3 AND year > l - 6 THEN papers ELSE 0 END) AS BIGINT) AS previous FROM ty, (SELECT max(year) AS l FROM paper WHERE NOT is_stub) GROUP BY 1),
-(SELECT sum(CASE WHEN year > l - 3 THEN 1 ELSE 0 END) AS ar, sum(CASE WHEN year <= l - 3 AND year > l - 6 THEN 1 ELSE 0 END) AS ap FROM paper, (SELECT max(year) AS l FROM paper WHERE NOT is_stub) WHERE NOT is_stub) WHERE recent + previous >= 3)""", TOPIC_YEARS))
+WINDOWS = """y AS (SELECT year, count(*) AS n FROM paper WHERE NOT is_stub GROUP BY 1), l AS (SELECT max(year) AS l FROM y),
+a AS (SELECT coalesce(sum(n) FILTER (year > l - 3), 0) AS ar, coalesce(sum(n) FILTER (year <= l - 3 AND year > l - 6), 0) AS ap FROM y, l),
+o AS (SELECT topic_id, CAST(sum(papers) AS BIGINT) AS total, CAST(coalesce(sum(papers) FILTER (year > l - 3), 0) AS BIGINT) AS recent,
+ CAST(coalesce(sum(papers) FILTER (year <= l - 3 AND year > l - 6), 0) AS BIGINT) AS previous,
+ string_agg(year || ':' || papers, ',' ORDER BY year) AS series FROM ty, l GROUP BY 1)"""
+
+
+@graph("f05_recent_previous", sql("SELECT topic_id, total, recent, previous FROM o", TOPIC_YEARS, WINDOWS))
 def _(g):
-    totals = g.papers.where(read.not_stub()).groupBy("year").agg(F.count("*").alias("papers"))
-    return read.trends(_topic_years(g), totals).withColumn("growth", F.round("growth", 6))
+    return read.windows(_topic_years(g), _year_totals(g), 3).select("topic_id", "total", "recent", "previous")
+
+
+@graph("k10_topic_trends", sql("""SELECT topic_id, total, recent, previous, series, round(CASE WHEN ar > 0 THEN recent / ar ELSE 0 END, 9) AS share_recent,
+round(CASE WHEN ap > 0 THEN previous / ap ELSE 0 END, 9) AS share_previous, round(growth, 6) AS growth, label FROM (
+SELECT *, CASE WHEN previous = 0 AND recent >= 2 THEN 'emerging' WHEN growth >= 1.5 AND recent > previous THEN 'rising'
+WHEN growth <= 0.67 AND recent < previous THEN 'declining' ELSE 'steady' END AS label FROM (
+SELECT *, CASE WHEN recent = 0 AND previous = 0 THEN 1.0::DOUBLE ELSE ((recent + 0.5::DOUBLE) / (ar + 1)) / ((previous + 0.5::DOUBLE) / (ap + 1)) END AS growth
+FROM o, a WHERE total >= 2))
+ORDER BY list_position(['emerging', 'rising', 'steady', 'declining'], label), recent + previous = 0, growth DESC, total DESC, topic_id LIMIT 30""", TOPIC_YEARS, WINDOWS))
+def _(g):
+    series = F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["year"].cast("string"), x["papers"].cast("string"))), ",")
+    made = read.trends(_topic_years(g), _year_totals(g)).withColumn("series", series)
+    return made.select("topic_id", "total", "recent", "previous", "series", "label", F.round("growth", 6).alias("growth"), *(F.round(c, 9).alias(c) for c in ("share_recent", "share_previous")))
 
 
 @graph("k12_author_detail", sql("SELECT y.author_id AS id, s_name AS name, count(*) AS papers FROM wrote x JOIN wrote y USING (paper_id) JOIN supplier ON s_suppkey = y.author_id WHERE x.author_id = 3 AND y.author_id <> 3 GROUP BY 1, 2 ORDER BY papers DESC, id LIMIT 25"))
@@ -419,21 +441,9 @@ def _(g):
     return read.top_k(g.topics.where(F.col("topic_id") != first).join(mine, "paper_id", "left_semi").groupBy("topic_id").agg(F.count("*").alias("shared")), 10, F.desc("shared"), F.col("topic_id"))
 
 
-@register("k08_analytics_run")
-def _run(spark: SparkSession, folder: str) -> DataFrame:
-    """The batch run as a report: one row per derived table with its size and checksum."""
-    g = from_orders(spark, folder)
-    made = {"collaborated": read.co_occurrence(g.wrote, "author_id", "paper_id"), "related": read.co_occurrence(g.topics, "topic_id", "paper_id", 2), "paper_metrics": read.degrees(g)}
-    rows = [df.agg(F.lit(k).alias("step"), F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("checksum")) for k, df in made.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
 @graph("i12_reading_order")
 def _(g):
     from citelake.operators.reading import reading_path
 
     scores = g.papers.where(read.not_stub()).join(read.in_degree(g), "id").select("id", "year", F.col("in_degree").alias("score"))
-    return reading_path(scores, g.cites, 20)
+    return reading_path(scores, g.cites, 20).select("id", "place", "cited_by", "builds_on")

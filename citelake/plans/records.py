@@ -19,18 +19,18 @@ def _(spark, folder):
     return spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("id"), nz.doi(F.expr(RAW_DOI)).alias("doi"))
 
 
-RAW_ARXIV = "CASE o_orderkey % 3 WHEN 0 THEN 'arXiv:' || lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR(9)), 5, '0') || 'v2' WHEN 1 THEN 'hep-th/' || lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '0') || 'v1' ELSE 'garbage' END"
+RAW_ARXIV = "CASE o_orderkey % 3 WHEN 0 THEN 'arXiv:' || lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR(9)), 5, '0') || 'v2' WHEN 1 THEN 'hep-th/' || lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '0') || 'v1' ELSE '2104.0' || o_orderkey END"
 
 
-@register("j03_arxiv", f"SELECT id, coalesce(nullif(regexp_extract(a, '(\\d{{4}}\\.\\d{{4,5}})(v\\d+)?', 1), ''), nullif(regexp_extract(lower(a), '([a-z-]+(\\.[a-z]{{2}})?/\\d{{7}})(v\\d+)?', 1), '')) AS arxiv FROM (SELECT o_orderkey AS id, {RAW_ARXIV} AS a FROM orders)")
+@register("j03_arxiv", f"SELECT id, coalesce(nullif(regexp_extract(a, '(\\d{{4}}\\.\\d{{4,5}})(v\\d+)?$', 1), ''), nullif(regexp_extract(lower(a), '([a-z-]+(\\.[a-z]{{2}})?/\\d{{7}})(v\\d+)?$', 1), '')) AS arxiv FROM (SELECT o_orderkey AS id, {RAW_ARXIV} AS a FROM orders)")
 def _(spark, folder):
     return spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("id"), nz.arxiv_id(F.expr(RAW_ARXIV.replace("VARCHAR(9)", "string"))).alias("arxiv"))
 
 
-RAW_ORCID = "'https://orcid.org/0000-0002-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR(9)), 4, '0') || '-009x'"
+RAW_ORCID = "'https://orcid.org/0000-0002-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR(9)), 4, '0') || '-009x' || CASE WHEN s_suppkey % 5 = 0 THEN '/about' ELSE '' END"
 
 
-@register("j04_orcid", f"SELECT s_suppkey AS id, upper(regexp_extract({RAW_ORCID}, '(\\d{{4}}-\\d{{4}}-\\d{{4}}-\\d{{3}}[\\dxX])', 1)) AS orcid FROM supplier")
+@register("j04_orcid", f"SELECT s_suppkey AS id, nullif(upper(regexp_extract({RAW_ORCID}, '(\\d{{4}}-\\d{{4}}-\\d{{4}}-\\d{{3}}[\\dxX])$', 1)), '') AS orcid FROM supplier")
 def _(spark, folder):
     return spark.read.parquet(f"{folder}/supplier.parquet").select(F.col("s_suppkey").alias("id"), nz.orcid(F.expr(RAW_ORCID.replace("VARCHAR(9)", "string"))).alias("orcid"))
 
@@ -61,13 +61,6 @@ def _(g):
     return ingest.identifier_matches(keys, keys, ("doi", "openalex_id"))
 
 
-@graph("j12_fuzzy_match")
-def _(g):
-    lists = g.wrote.groupBy(F.col("paper_id").alias("id")).agg(F.collect_set("author_id").alias("authors"))
-    keyed = g.papers.join(lists, "id", "left").select("id", "is_stub", "year", "authors", F.concat_ws(" ", F.substring("title", 3, 6), (F.col("id") % 400).cast("string")).alias("title_key"))
-    return ingest.fuzzy_matches(keyed, keyed)
-
-
 @graph("j19_reference_resolution", sql("SELECT DISTINCT src, dst, is_new FROM (SELECT CAST(src AS VARCHAR) AS src, CASE WHEN dst % 5 = 0 THEN 'stub:' || substr(sha256('ref' || dst), 1, 16) ELSE CAST(dst AS VARCHAR) END AS dst, dst % 5 = 0 AS is_new FROM cites)"))
 def _(g):
     refs = g.cites.select(F.col("src").cast("string").alias("src"), F.concat(F.lit("ref"), F.col("dst").cast("string")).alias("value"))

@@ -27,7 +27,7 @@ k AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS
 
 @register("h01_bm25", f"WITH {W}, {BM25} SELECT id, round(score, 6) AS score FROM k")
 def _(spark, folder):
-    return search.bm25(_docs(spark, folder), ["the", "with"], 50).select("id", F.round("score", 6).alias("score"))
+    return search.bm25(_docs(spark, folder), [("the", False), ("with", False)], 50).select("id", F.round("score", 6).alias("score"))
 
 
 @register("h05_text_hash", "SELECT doc_id AS id, substr(sha256(text), 1, 16) AS hash FROM documents")
@@ -66,30 +66,47 @@ def _(spark, folder):
 @register("h11_rrf", f"WITH {W}, {BM25}, l AS (SELECT id, row_number() OVER (ORDER BY len, id) AS rank FROM f WHERE a > 0 AND b > 0 ORDER BY len, id LIMIT 50) SELECT id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(m, ',' ORDER BY m) AS matched_by FROM (SELECT id, rank, 'keyword' AS m FROM k UNION ALL SELECT id, rank, 'short' FROM l) GROUP BY 1")
 def _(spark, folder):
     docs = _docs(spark, folder)
-    keyword = search.ranked(search.bm25(docs, ["the", "with"], 50).withColumn("score", F.round("score", 9)))
+    keyword = search.ranked(search.bm25(docs, [("the", False), ("with", False)], 50).withColumn("score", F.round("score", 9)))
     said = docs.select("id", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
     short = said.where("array_contains(w, 'the') AND array_contains(w, 'with')").select("id", F.size("w").alias("len")).orderBy("len", "id").limit(50)
     lists = {"keyword": keyword, "short": search.ranked(short.select("id", (-F.col("len")).alias("score")))}
     return search.fuse(lists).select("id", F.round("score", 9).alias("score"), "matched_by")
 
 
-REL = "rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), rk AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(d.n_chars - 40 * item_id), doc_id) AS rank FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20)"
+TOKENS = "t AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM {w}) GROUP BY 1, 2, 3)"
+ITEMS = "iw AS (SELECT item_id AS query, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark), a AS (SELECT query, len(w) AS asked, unnest(w) AS term FROM iw)"
+MANY = f"""{W}, {TOKENS.format(w='w')}, {ITEMS}, st AS (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT DISTINCT id, len FROM t)), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+sc AS (SELECT query, id, any_value(asked) AS asked, count(*) AS matched, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * len / mean))) AS score FROM t JOIN df USING (term) JOIN a USING (term), st GROUP BY 1, 2),
+rk AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 10), rel AS (SELECT query, id FROM sc WHERE matched = asked),
+h AS (SELECT rel.query, rel.id, rank FROM rel LEFT JOIN rk USING (query, id)), g AS (SELECT query, count(*) AS n, count(*) FILTER (rank <= 10) AS found, min(rank) AS first, coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END), 0) AS gain FROM h GROUP BY 1),
+q AS (SELECT item_id AS query, n, found, first, gain FROM benchmark LEFT JOIN g ON g.query = item_id)"""
 
 
-def _gold(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rankings of documents for each benchmark item, and the documents that hold it."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    items = spark.read.parquet(f"{folder}/benchmark.parquet").withColumnRenamed("text", "passage")
-    relevant = docs.join(F.broadcast(items), F.expr("contains(text, passage)")).select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"))
-    close = docs.select("doc_id", "n_chars").join(F.broadcast(items.select("item_id")), F.expr("doc_id % 20 = item_id % 20"))
-    turn = F.row_number().over(evaluate.by("item_id", F.abs(F.col("n_chars") - 40 * F.col("item_id")), F.col("doc_id")))
-    return close.select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"), turn.alias("rank")), relevant
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("query"), "text")
 
 
-@register("m_retrieval_metrics", f"WITH {REL}, h AS (SELECT r.item_id, r.doc_id, rank FROM rel r LEFT JOIN rk USING (item_id, doc_id)), n AS (SELECT item_id, count(*) AS n FROM rel GROUP BY 1) SELECT item_id AS query, round(count(*) FILTER (rank <= 10) / any_value(n), 6) AS recall, CAST(count(*) FILTER (rank <= 10) > 0 AS INT) AS hit, round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank, round(coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(any_value(n), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM h JOIN n USING (item_id) GROUP BY 1")
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 rankings of all documents for each benchmark item, held against the documents that have all of its words."""
+    docs, asked = _docs(spark, folder), _asked(spark, folder)
+    ranking = search.bm25_many(docs, asked, 10).select("query", F.col("id").alias("item"), "rank")
+    return evaluate.retrieval(ranking, search.holders(docs, asked).withColumnRenamed("id", "item"), 10, asked)
+
+
+@register("h01_bm25_many", f"WITH {MANY} SELECT query, id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM rk")
 def _(spark, folder):
-    made = evaluate.retrieval(*_gold(spark, folder), k=10)
-    return made.select("query", *(F.round(c, 6).alias(c) if c != "hit" else F.col(c) for c in ("recall", "hit", "reciprocal_rank", "ndcg")))
+    return search.bm25_many(_docs(spark, folder), _asked(spark, folder), 10).select("query", "id", "rank", F.round("score", 4).alias("score"))
+
+
+for _key, _name, _sql in (
+    ("m01_recall", "recall", "round(coalesce(found / n, 1), 6)"), ("m02_hit", "hit", "CAST(coalesce(found, 0) > 0 AS INT)"),
+    ("m03_mrr", "reciprocal_rank", "round(coalesce(1 / first, 0), 6)"),
+    ("m04_ndcg", "ndcg", "round(coalesce(gain / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 1), 6)"),
+):
+
+    @register(_key, f"WITH {MANY} SELECT query, {_sql} AS {_name} FROM q")
+    def _(spark, folder, name=_name):
+        return _measured(spark, folder).select("query", (F.col(name) if name == "hit" else F.round(name, 6)).alias(name))
 
 
 @register("e12_multiset_equal", "SELECT true AS same, false AS other")
@@ -103,10 +120,12 @@ def _(spark, folder):
     return admitted(spark.read.parquet(f"{folder}/events.parquet").select(F.col("user_id").alias("client"), F.col("ts"), F.col("event_id").alias("id")), limit=3, seconds=3600)
 
 
-@register("l07_verify_citations", "SELECT doc_id AS id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\[(\\d{1,3})\\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 6))) AS valid FROM documents")
+@register("l07_verify_citations", "SELECT doc_id AS id, len(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text || ' [' || doc_id % 9 || ' , 3] [7]', '\\[(\\d+(\\s*,\\s*\\d+)*)\\]', 1), lambda m: string_split(m, ','))), lambda x: TRY_CAST(trim(x) AS BIGINT)), lambda x: x BETWEEN 1 AND 6))) AS valid FROM documents")
 def _(spark, folder):
-    said = F.transform(F.regexp_extract_all("text", F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
-    return _docs(spark, folder).select("id", F.size(F.array_distinct(F.filter(said, lambda x: x.between(1, 6)))).cast("long").alias("valid"))
+    from citelake.operators.assist import cited
+
+    answer = F.concat("text", F.lit(" ["), (F.col("id") % 9).cast("string"), F.lit(" , 3] [7]"))
+    return _docs(spark, folder).select("id", F.size(cited(answer, F.lit(6))).cast("long").alias("valid"))
 
 
 @register("j01_clean_text", "SELECT page_id, trim(regexp_replace(regexp_replace(url || ' <b>x</b>  y ', '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM pages")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from citelake.functions import normalize as nz
 
+# Field names of the public API, and its kinds of venues as the graph calls them.
+VENUES = {"journal": "journal", "conference": "conference", "repository": "repository", "book series": "book", "ebook platform": "book"}
 SCHEMA = """meta struct<count:bigint,per_page:int,next_cursor:string>, results array<struct<
 id:string,doi:string,title:string,display_name:string,publication_year:int,publication_date:string,language:string,type:string,cited_by_count:bigint,
 abstract_inverted_index:map<string,array<int>>,
@@ -46,6 +48,25 @@ def records(works_: DataFrame) -> DataFrame:
         nz.clean_text(F.coalesce(w["title"], w["display_name"])).alias("title"), nz.rebuild_abstract(w["abstract_inverted_index"]).alias("abstract"),
         w["publication_year"].alias("year"), F.try_to_date(w["publication_date"]).alias("publication_date"),
         w["cited_by_count"].alias("citation_count"), w["primary_location"]["source"]["display_name"].alias("venue"),
+        F.when(w["primary_location"]["source"].isNotNull(), F.coalesce(F.create_map(*(F.lit(v) for kv in VENUES.items() for v in kv))[w["primary_location"]["source"]["type"]], F.lit("other"))).alias("venue_type"),
+        F.coalesce(w["primary_location"]["landing_page_url"], F.concat(F.lit("https://doi.org/"), doi)).alias("url"), w["language"].alias("language"),
+        F.transform(F.coalesce(w["topics"], F.expr("array()")), lambda t: t["display_name"]).alias("topics"),
+        F.transform(F.coalesce(w["keywords"], F.expr("array()")), lambda t: t["display_name"]).alias("keywords"),
         F.transform(F.filter(F.coalesce(w["authorships"], F.array()), lambda a: F.length(F.trim(name(a))) > 0), lambda a: F.struct(name(a).alias("name"), short_id(a["author"]["id"]).alias("openalex_id"), nz.orcid(a["author"]["orcid"]).alias("orcid"))).alias("authors"),
         F.filter(F.transform(F.coalesce(w["referenced_works"], F.array()), short_id), lambda x: x.isNotNull()).alias("references"),
     )
+
+
+def load_records(rows: DataFrame) -> DataFrame:
+    """Rows of ``records`` as a batch to load, in the order of their ids."""
+    from pyspark.sql import Window
+
+    none = lambda kind: F.lit(None).cast(kind)
+    people = F.transform("authors", lambda a: F.struct(a["name"].alias("name"), none("string").alias("key"), a["orcid"].alias("orcid"), a["openalex_id"].alias("openalex_id")))
+    # one batch job's records in one order: a load is sequential over its batches
+    place = (F.row_number().over(Window.orderBy("openalex_id", "title")) - 1).cast("bigint")
+    return rows.select(
+        place.alias("id"), place.alias("place"), F.lit("openalex").alias("source"), "doi", "openalex_id", "arxiv_id", none("string").alias("s2_id"), none("string").alias("seed_key"), "title", "abstract",
+        none("string").alias("description"), "year", "publication_date", "language", "url", "citation_count", "venue", people.alias("people"), "topics", "keywords",
+        F.transform("references", lambda r: F.concat(F.lit("openalex_id="), r)).alias("references"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = """dataset string, version int, topics array<struct<key:string,name:string,description:string>>, venues array<struct<key:string,name:string,type:string>>,
-papers array<struct<key:string,title:string,year:int,arxiv:string,venue:string,topics:array<string>,keywords:array<string>,description:string,cites:array<string>>>"""
+papers array<struct<key:string,title:string,year:int,arxiv:string,venue:string,authors:array<struct<name:string,key:string>>,topics:array<string>,keywords:array<string>,description:string,cites:array<string>>>"""
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
