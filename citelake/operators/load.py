@@ -181,7 +181,7 @@ def _authors(tables: dict[str, DataFrame], placed: DataFrame) -> DataFrame:
     nodes = tables["author"].join(own, "id", "left").withColumn("coauthors", F.coalesce("coauthors", F.array().cast("array<string>")))
     known = resolve.resolve_authors(said, nodes)
     new = said.join(known.where("node IS NULL").select(F.col("author").alias("id")), "id", "left_semi")
-    clusters = resolve.cluster_mentions(new.select("id", "paper", "name_key", "coauthors"))
+    clusters = resolve.cluster_mentions(new.select("id", "paper", "name_key", "coauthors", "key", "orcid", "openalex_id"))
     named = F.coalesce(F.concat(F.lit("author:"), F.col("key")), "node", F.concat(F.lit("author:"), F.hex("cluster")))
     made = said.join(known.select(F.col("author").alias("id"), "node"), "id").join(clusters.withColumnRenamed("author", "cluster"), "id", "left")
     # an author has the id of its key if it has one, so a mention that is new under a key keeps it

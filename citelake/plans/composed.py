@@ -294,7 +294,7 @@ def _(g):
 
 @graph("i05_louvain")
 def _(g):
-    return alg.louvain(read.undirected(g.cites).withColumn("weight", F.lit(1.0)))
+    return alg.communities(read.undirected(g.cites).withColumn("weight", F.lit(1.0)))
 
 
 @graph("i08_shortest_path")
