@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citelake.llm.common import bounded_batches, chunks, fresh_name, text_buffer, tidy
+from citelake.llm.common import chunks, fresh_name, mapped, text_buffer
 
 # Fixed value: the pre-token pattern of the ByteLevel pre-tokenizer.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token
     one batch in memory at a time."""
     names = [fresh_name("ids"), *([fresh_name("text")] if decoded else [])]
     kinds = [T.ArrayType(T.IntegerType(), False), T.StringType()]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, kind, False) for c, kind in zip(names, kinds, strict=False))])
+    fields = [T.StructField(c, kind, False) for c, kind in zip(names, kinds, strict=False)]
     k = docs.columns.index(text_col)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token
                     made.append(bpe.decode(ids, at).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *made], names=[*batch.schema.names, *names])
 
-    made = bounded_batches(docs).mapInArrow(tidy(encoded), schema)
+    made = mapped(docs, encoded, fields)
     for tmp, name in zip(names, (out, decoded), strict=False):
         made = _renamed(made, docs, tmp, name)
     return made
@@ -223,7 +223,6 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """docs with the text that the ids stand for."""
     tmp = fresh_name("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(tmp, T.StringType(), False)])
     k = docs.columns.index(ids_col)
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +238,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "d
                 columns = [*batch.slice(i, j - i).columns, made.cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, tmp])
 
-    return _renamed(bounded_batches(docs).mapInArrow(tidy(restored), schema), docs, tmp, out)
+    return _renamed(mapped(docs, restored, [T.StructField(tmp, T.StringType(), False)]), docs, tmp, out)
 
 
 def _renamed(made: DataFrame, docs: DataFrame, tmp: str, out: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a numpy kernel takes at once; a longer single text is taken whole.
 CHUNK_BYTES = 1 << 20
@@ -66,6 +67,13 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def mapped(df: DataFrame, run: Kernel, fields: list[T.StructField]) -> DataFrame:
+    """df through a kernel that appends columns. Names with dots, which Arrow maps can't take, are kept out of its way."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    made = bounded_batches(plain).mapInArrow(tidy(run), T.StructType([*plain.schema.fields, *fields]))
+    return made.toDF(*df.columns, *(f.name for f in fields))
+
+
 def tidy(run: Kernel) -> Kernel:
     """run, giving freed memory back to the system at the end of a partition: workers live on beside those of others."""
 

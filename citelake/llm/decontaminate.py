@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from citelake.llm.common import bounded_batches, chunks, column, mix, shingles, text_buffer, tidy
+from citelake.llm.common import bounded_batches, chunks, column, mapped, mix, shingles, text_buffer, tidy
 
 THRESHOLD = 0.75
 #: Chance of missing an item at the threshold's containment.
@@ -151,5 +151,5 @@ def keep(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_c
                         clean[i + t] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = bounded_batches(docs).mapInArrow(tidy(run), docs.schema)
+        docs = mapped(docs, run, [])
     return docs

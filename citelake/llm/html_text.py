@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from citelake.llm.bpe import _renamed
-from citelake.llm.common import bounded_batches, fresh_name
+from citelake.llm.common import fresh_name, mapped
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -470,7 +470,6 @@ def to_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with a column of their visible text; narrow, a page in memory at a time."""
     tmp = fresh_name("text")
-    schema = T.StructType([*pages.schema.fields, T.StructField(tmp, T.StringType(), False)])
     k = pages.columns.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,4 +479,4 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
                 made = pa.array([to_text(x.as_py()) for x in part.column(k)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, tmp])
 
-    return _renamed(bounded_batches(pages).mapInArrow(run, schema), pages, tmp, out)
+    return _renamed(mapped(pages, run, [T.StructField(tmp, T.StringType(), False)]), pages, tmp, out)

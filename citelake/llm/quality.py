@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import bounded_batches, chunks, cut, fresh_name, mix, prefix_hash, shingles, text_buffer, word_hashes, words
+from citelake.llm.common import column, bounded_batches, chunks, cut, fresh_name, mix, prefix_hash, shingles, text_buffer, word_hashes, words
 from citelake.llm.labels import fold, one_per_id
 
 FOLDS = 3
@@ -155,7 +155,7 @@ def train(rows: DataFrame, shrinkage: float = SHRINKAGE) -> Model:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, held_out: int = 1, shrinkage: float = SHRINKAGE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. One pass over the texts; labels meet statistics only."""
-    rows = cut(featurise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    rows = cut(featurise(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))))
     known = one_per_id(labels, id_col, label_col).where(fold("label_id", folds) != held_out)
     model = train(rows.join(known, rows["doc_id"] == known["label_id"]), shrinkage)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelake.llm.bpe import _renamed
-from citelake.llm.common import bounded_batches, chunks, fresh_name, text_buffer
+from citelake.llm.common import chunks, column, fresh_name, mapped, text_buffer
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
@@ -78,7 +78,6 @@ def counter(path: str) -> PieceCounter:
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with a long column of token counts; narrow."""
     tmp = fresh_name("n")
-    schema = T.StructType([*docs.schema.fields, T.StructField(tmp, T.LongType(), False)])
     k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +90,9 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out: str =
                 n[i:j] = pieces.counts([t or "" for t in texts.slice(i, j - i).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, tmp])
 
-    return _renamed(bounded_batches(docs).mapInArrow(run, schema), docs, tmp, out)
+    return _renamed(mapped(docs, run, [T.StructField(tmp, T.LongType(), False)]), docs, tmp, out)
 
 
 def budgeted(docs: DataFrame, path: str, limit: int = 4096, text_col: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
-    return count_tokens(docs, path, text_col).withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)
+    return count_tokens(docs, path, text_col).withColumn("n_bytes", F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import _LOWER, bounded_batches, chunks, cut, fresh_name, mix, prefix_hash, text_buffer, tidy, words
+from citelake.llm.common import _LOWER, chunks, column, cut, fresh_name, mapped, mix, prefix_hash, text_buffer, tidy, words
 from citelake.llm.labels import fold, one_per_id
 
 #: Labelled documents that a model is fitted on at most: those with the smallest hash of their id.
@@ -151,7 +151,7 @@ def _descend(slot: np.ndarray, at: np.ndarray, y: np.ndarray, bias: float, param
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, folds: int = FOLDS) -> Model:
     """Fit on at most max_rows labelled documents outside fold 0."""
     chosen = one_per_id(labels, id_col, label_col).where(fold("label_id", folds) != 0).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    sample = cut(docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
+    sample = cut(docs.select(column(id_col).alias("label_id"), column(text_col).alias("text")).join(F.broadcast(chosen), "label_id").groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +179,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a double column from 0 to 1; narrow."""
     tmp = fresh_name("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField(tmp, T.DoubleType(), False)])
     k = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -192,7 +191,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 s[i:j] = m.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, tmp])
 
-    made = bounded_batches(docs).mapInArrow(tidy(run), schema)
+    made = mapped(docs, run, [T.StructField(tmp, T.DoubleType(), False)])
     return made.drop(*[c for c in docs.columns if c == out]).withColumnRenamed(tmp, out)
 
 
