@@ -59,8 +59,8 @@ class StoredWorks:
         """Works by id or DOI; the ids are a small table, so their number has no bound."""
         asked = self.works.sparkSession.createDataFrame([(i.lower(),) for i in dict.fromkeys(ids)], "asked string")
         short, doi = F.lower(openalex.short_id(F.col("work.id"))), F.lower(F.regexp_replace("work.doi", "^https?://doi.org/", ""))
-        keyed = self.works.withColumn("asked", F.explode(F.array_distinct(F.array_compact(F.array(short, doi)))))
-        return keyed.join(asked, "asked", "left_semi").drop("asked").dropDuplicates()
+        keyed = self.works.withColumn("short", short).withColumn("asked", F.explode(F.array_distinct(F.array_compact(F.array(short, doi)))))
+        return keyed.join(asked, "asked", "left_semi").drop("asked").dropDuplicates(["short"]).drop("short")
 
     def get(self, work: str) -> DataFrame:
         return self._where(openalex.short_id(F.col("work.id")) == work)

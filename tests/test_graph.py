@@ -60,6 +60,46 @@ def test_betweenness_takes_every_paper_of_a_small_graph(spark):
     assert len(alg.sources(many)) == 500 and alg.sources(many) == alg.sources(many)
 
 
+def test_louvain_and_components(spark):
+    pairs = [(x, y) for g in (range(6), range(6, 12), range(12, 18)) for x in g for y in g if x != y] + [(0, 6), (6, 0), (7, 12), (12, 7)]
+    edges = spark.createDataFrame([(*p, 1.0) for p in pairs], "a bigint, b bigint, weight double")
+    near, far = ({r["id"]: r["community"] for r in df.collect()} for df in (alg.communities(edges), alg.communities(edges, local_edges=0)))
+    for got in (near, far):
+        members = spark.createDataFrame(list(got.items()), "id bigint, grp int")
+        assert len(set(got.values())) == 3 and alg.modularity(edges, members).first()[0] > 0.55
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40)], "a bigint, b bigint")
+    assert {r["id"]: r["component"] for r in alg.connected(chain).collect()} == {i: 0 for i in range(21)} | {40: 40, 50: 40}
+
+
+def test_paths_and_their_sentence(spark):
+    from citelake.operators import usecases
+
+    edges = spark.createDataFrame([("paper:1", "paper:2", "CITES"), ("author:9", "paper:2", "WROTE"), ("author:9", "paper:3", "WROTE"), ("paper:8", "paper:7", "CITES")], "src string, dst string, type string")
+    path = usecases.shortest_path(edges, "paper:1", "paper:3")
+    assert [(r["src"], r["dst"]) for r in path.orderBy("step").collect()] == [("paper:1", "paper:2"), ("author:9", "paper:2"), ("author:9", "paper:3")]
+    names = spark.createDataFrame([("paper:1", "One"), ("author:9", "Nine")], "id string, name string")
+    assert usecases.describe(path, names).first()[0] == "One cites paper:2; Nine wrote paper:2; Nine wrote paper:3"
+    assert usecases.shortest_path(edges, "paper:1", "paper:7").count() == 0 and usecases.shortest_path(edges, "paper:1", "paper:3", 2).count() == 0
+
+
+@pytest.mark.parametrize("key", sorted(k for k in catalog.queries() if k not in catalog.oracle_sql() and k not in ("k08_analytics_run", "i04_betweenness")))
+def test_queries_without_sql_run(spark, key):
+    assert catalog.queries()[key](spark, FOLDER).count() > 0
+
+
+def test_recommendations(spark):
+    from citelake.graph import from_orders
+    from citelake.operators import usecases
+
+    g = from_orders(spark, FOLDER)
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "id bigint, vector array<float>")
+    rows, note = usecases.recommend(g, vectors, [33, 34], 15, iterations=5, tolerance=None)
+    rows = rows.collect()
+    assert note is None and rows and not {33, 34} & {r["id"] for r in rows} and all(r["reasons"] for r in rows)
+    with pytest.raises(KeyError):
+        usecases.recommend(g, vectors, [33, -5], 5)
+
+
 def test_similar(spark):
     edges = _edges(spark, [(1, 11), (1, 12), (1, 13), (2, 11), (2, 12), (3, 19)])
     assert [(r["id"], r["shared"], round(r["jaccard"], 6)) for r in alg.similar(edges, 1, 5).collect()] == [(2, 2, 0.666667)]
