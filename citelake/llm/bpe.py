@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,8 +32,9 @@ from citelake.llm.common import chunks, fresh_name, mapped, text_buffer
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space before white space or at the end, where a text can't simply be cut at its spaces.
 _UNCUT = re.compile(r" (?=\s|$)")
+_BETWEEN = "\u0100"
 #: Pieces of text between spaces that a worker remembers before it starts afresh.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 #: Judged pairs that a worker remembers before it starts afresh.
 CACHE_PAIRS = 2_000_000
 
@@ -67,9 +69,11 @@ class ByteBPE:
         added = set(self.special.values())
         # only tokens that their own bytes encode to can stand in an encoding
         self.ids = {b: i for i, b in self.tokens.items() if i not in added and self.exact(b) == [i]}
-        self.longest: dict[bytes, int] = {}
-        for t in self.ids:
-            self.longest[t[:4]] = max(self.longest.get(t[:4], 0), len(t))
+        self.matcher = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            self.matcher.add_word(t.decode("latin-1"), i)
+        self.matcher.add_word(_BETWEEN, -1)
+        self.matcher.make_automaton()
         self.pattern = regex.compile(PRETOKEN)
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.shift = max(self.tokens).bit_length()
@@ -90,15 +94,13 @@ class ByteBPE:
         self.code: dict[str, int] = {}
         self.flat, self.begin = array("i"), array("q", [0])
 
-    def greedy(self, piece: bytes) -> list[int]:
-        get, longest, out, i, n = self.ids.get, self.longest.get, [], 0, len(piece)
-        while i < n:
-            k = min(longest(piece[i : i + 4], 3), n - i)
-            while (t := get(piece[i : i + k])) is None:
-                k -= 1
-            out.append(t)
-            i += k
-        return out
+    def greedy(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches from the left of all pieces in a row, and the piece of each; every byte is a token, so none is
+        left over. The automaton works on Latin-1 text, with a sign between pieces that no token has."""
+        text = "".join(p.decode("latin-1") + _BETWEEN for p in pieces)
+        found = np.fromiter((t for _, t in self.matcher.iter_long(text)), np.int64)
+        between = found < 0
+        return found[~between], np.cumsum(between)[~between]
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """For each key (left << shift | right): does the pair's text encode to this pair?"""
@@ -118,11 +120,10 @@ class ByteBPE:
     def propose(self, words: list[str]) -> dict[str, list[int]]:
         """The encoding of each distinct pre-token: greedy where all adjacent pairs are compatible, else exact."""
         pieces = [w.encode("utf-8", "surrogatepass") for w in words]
-        proposed = [self.greedy(p) for p in pieces]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+        flat, owner = self.greedy(pieces)
         inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
+        ids, at = flat.tolist(), np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
+        proposed = [ids[i:j] for i, j in zip(at, at[1:], strict=False)]
         if len(inner):
             ok = self.compatible(flat[inner] << self.shift | flat[inner + 1])
             for k in np.unique(owner[inner[~ok]]).tolist():
@@ -131,7 +132,9 @@ class ByteBPE:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces of text and remember them."""
-        split = [[p] if p in self.special else self.pattern.findall(p) for p in pieces]
+        # a run of letters, with or without a space before it, is one pre-token
+        plain = lambda p: p.isalpha() or p[:1] == " " and p[1:].isalpha()
+        split = [[p] if p in self.special or plain(p) else self.pattern.findall(p) for p in pieces]
         of = self.propose(list(set().union(*split).difference(self.special))) | {s: [i] for s, i in self.special.items()}
         flat, begin, code = self.flat, self.begin, self.code
         for piece, pretokens in zip(pieces, split, strict=True):
