@@ -80,13 +80,18 @@ def tidy(run: Kernel) -> Kernel:
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-            trim(0)
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

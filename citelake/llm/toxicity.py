@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import _LOWER, chunks, column, cut, fresh_name, mapped, mix, prefix_hash, text_buffer, tidy, words
+from citelake.llm.common import _LOWER, chunks, column, cut, fresh_name, give_back, mapped, mix, prefix_hash, text_buffer, tidy, words
 from citelake.llm.labels import fold, one_per_id
 
 #: Labelled documents that a model is fitted on at most: those with the smallest hash of their id.
@@ -172,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     del rows, lists
     seen = np.unique(ids)
     slot[seen] = np.arange(len(seen))
-    bias, params = _fit(slot[ids], at, y, len(seen))
+    ids = slot[ids]
+    bias, params = _fit(ids, at, y, len(seen))
+    del ids
+    give_back()
     return Model(bias, slot, params)
 
 

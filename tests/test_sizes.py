@@ -172,3 +172,14 @@ def test_pools_of_hybrid_search_are_made_once(spark, monkeypatch):
     assert {r["id"] for r in search.knn(vectors, search.hash_vector("the cat"), 9).collect()} == {0, 1, 4}
     assert search.knn(vectors, search.hash_vector("-"), 9).isEmpty()
     assert "broadcast" not in search.bm25(docs, "the cat", 3)._jdf.queryExecution().toString().lower()
+
+
+def test_training_gives_memory_back(spark, monkeypatch):
+    """Pipeline: what the fit took on the driver is freed before the next stage."""
+    from citelake.llm import toxicity
+
+    asked = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: asked.append(1), raising=False)
+    docs = spark.createDataFrame([(i, f"word {'bad' if i % 2 else 'good'} {i}") for i in range(20)], "doc_id bigint, text string")
+    toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    assert asked
