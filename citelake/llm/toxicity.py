@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import _LOWER, chunks, column, cut, fresh_name, give_back, mapped, mix, prefix_hash, text_buffer, tidy, words
+from citelake.llm.common import _LOWER, bounded_batches, chunks, column, cut, fresh_name, give_back, mapped, mix, prefix_hash, text_buffer, tidy, words
 from citelake.llm.labels import fold, one_per_id
 
 #: Labelled documents that a model is fitted on at most: those with the smallest hash of their id.
@@ -34,6 +34,8 @@ MIN_Z = 5.0
 FACTORS, EPOCHS, MIN_STEPS, BATCH, RATE, DAMP, HOLD, L2 = 8, 6, 1000, 256, 0.3, 1.0, 3.0, 1e-4
 PREFIXES = (4, 5, 6)
 FOLDS = 5
+#: Rows of parameters that a fitted model is handed on in at a time.
+PIECE = 1 << 15
 
 _U = np.uint64
 _BREAK = np.ones(256, dtype=bool)
@@ -112,7 +114,7 @@ def _fit(slot: np.ndarray, at: np.ndarray, y: np.ndarray, size: int) -> tuple[fl
     p = (n + 1) / (len(y) + 2)
     z = (n1 / y.sum() - (n - n1) / (len(y) - y.sum())) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum())))
     clear = (np.abs(z) >= MIN_Z)[slot]
-    bias, params = _descend(slot[clear], np.concatenate([[0], np.cumsum(clear)])[at], y, bias, params, rng)
+    bias, params = _descend(slot[clear], np.searchsorted(np.flatnonzero(clear), at), y, bias, params, rng)
     # many buckets of a text move at once: held back so that one text can't swing its own score
     return _descend(slot, at, y, bias, params, rng, (HOLD * RATE * len(slot) / len(y)) ** 2)
 
@@ -148,8 +150,32 @@ def _descend(slot: np.ndarray, at: np.ndarray, y: np.ndarray, bias: float, param
     return float(bias), params
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bias, buckets and parameters, in pieces, of the model of all rows (label, buckets as bytes)."""
+    labels, long, parts = [np.zeros(0)], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(1)]
+        labels.append(batch.column(0).to_numpy().astype(float))
+        long.append(np.array([len(x) for x in own], np.int64))
+        parts += own and [np.concatenate(own)]
+    y, at, ids = np.concatenate(labels), np.cumsum(np.concatenate(long)), np.concatenate(parts)
+    del parts
+    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+    slot[ids] = 0
+    seen = np.flatnonzero(slot == 0)
+    slot[seen] = np.arange(len(seen))
+    if not y.any() or y.all():
+        bias, seen, params = -35.0 if not y.any() else 35.0, seen[:0], np.zeros((0, 1 + FACTORS), np.float32)
+    else:
+        ids = slot[ids]
+        bias, params = _fit(ids, at, y, len(seen))
+    for k in range(0, max(1, len(seen)), PIECE):
+        piece = slice(k, k + PIECE)
+        yield pa.RecordBatch.from_pydict({"bias": [bias], "seen": [seen[piece].astype(np.int32).tobytes()], "params": [params[piece].tobytes()]})
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, folds: int = FOLDS) -> Model:
-    """Fit on at most max_rows labelled documents outside fold 0."""
+    """Fit on at most max_rows labelled documents outside fold 0, in one task: the driver gets the model alone."""
     chosen = one_per_id(labels, id_col, label_col).where(fold("label_id", folds) != 0).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     sample = cut(docs.select(column(id_col).alias("label_id"), column(text_col).alias("text")).join(F.broadcast(chosen), "label_id").groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
 
@@ -158,25 +184,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             data, offsets = text_buffer(batch.column(0))
             for i, j in chunks(offsets):
                 ids, owner = _distinct(*buckets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                at = np.searchsorted(owner, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["label", "buckets"])
+                at = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32) * 4
+                own = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(ids.astype(np.int32))])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), own], names=["label", "buckets"])
 
-    rows = sample.mapInArrow(tidy(features), "label int, buckets array<int>").toArrow()
-    y = rows.column("label").to_numpy().astype(float)
+    rows = cut(bounded_batches(sample).mapInArrow(tidy(features), "label int, buckets binary"))
+    made = rows.coalesce(1).mapInArrow(tidy(_fitted), "bias double, seen binary, params binary").toArrow()
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
-    if not y.any() or y.all():
-        return Model(-35.0 if not y.any() else 35.0, slot, np.zeros((0, 1 + FACTORS), np.float32))
-    lists = rows.column("buckets")
-    at = np.concatenate([[0], np.cumsum([n for c in lists.chunks for n in c.value_lengths().to_numpy(zero_copy_only=False)])])
-    ids = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks])
-    del rows, lists
-    seen = np.unique(ids)
+    if not made.num_rows:
+        return Model(-35.0, slot, np.zeros((0, 1 + FACTORS), np.float32))
+    seen, params = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in made.column(c)]) for c, kind in (("seen", np.int32), ("params", np.float32)))
+    bias = made.column("bias")[0].as_py()
+    del made
     slot[seen] = np.arange(len(seen))
-    ids = slot[ids]
-    bias, params = _fit(ids, at, y, len(seen))
-    del ids
     give_back()
-    return Model(bias, slot, params)
+    return Model(bias, slot, params.reshape(-1, 1 + FACTORS))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

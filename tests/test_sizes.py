@@ -183,3 +183,14 @@ def test_training_gives_memory_back(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word {'bad' if i % 2 else 'good'} {i}") for i in range(20)], "doc_id bigint, text string")
     toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
     assert asked
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """Pipeline: the fit runs in a task, the driver holds neither the terms of its sample nor what it takes."""
+    from citelake.llm import toxicity
+
+    asked = []
+    monkeypatch.setattr(toxicity, "_fit", lambda slot, at, y, size: asked.append(1) or (0.0, np.zeros((size, 1 + toxicity.FACTORS), np.float32)))
+    docs = spark.createDataFrame([(i, f"word {'bad' if i % 2 else 'good'} {i}") for i in range(20)], "doc_id bigint, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    assert not asked and model.params.any() and model.params.shape == ((model.slot >= 0).sum(), 1 + toxicity.FACTORS)
