@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -92,6 +93,14 @@ def give_back() -> None:
         trim(0)
 
 
+def collected(df: DataFrame) -> DataFrame:
+    """df, after the driver's JVM has dropped its garbage: of plans and tasks that are done, and with it the shuffles and
+    checkpoints that nothing names any more. A chain of many jobs else fills the heap before it is collected."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

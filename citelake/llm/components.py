@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import cut
+from citelake.llm.common import collected, cut
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if seen == state:
             break
         state = seen
-        edges = cut(_small_star(_large_star(edges)))
+        edges = collected(cut(_small_star(_large_star(edges))))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

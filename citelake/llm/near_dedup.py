@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import bitmap, bounded_batches, chunks, column, cut, fresh_name, marked, mix, shingles, signed, text_buffer, tidy
+from citelake.llm.common import bitmap, bounded_batches, chunks, collected, column, cut, fresh_name, marked, mix, shingles, signed, text_buffer, tidy
 from citelake.llm.components import components
 
 #: Partial keys in each of the two collections, and minhashes in a partial key.
@@ -186,14 +186,14 @@ def stars(rows: DataFrame) -> DataFrame:
 def link(made: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of every class that is linked with another."""
     keys = cut(shared_keys(made, groups))
-    rows = cut(tables(keys))
+    rows = collected(cut(tables(keys)))
     sets = cut(member_sets(docs, rows, id_col, text_col))
-    tested = cut(stars(rows))
-    links = cut(verify(tested, named(sets, tested)))
+    tested = collected(cut(stars(rows)))
+    links = collected(cut(verify(tested, named(sets, tested))))
     labels = cut(components(links, "x", "y"))
-    rest = cut(_open(keys, labels).join(sets, "id"))
+    rest = collected(cut(_open(keys, labels).join(sets, "id")))
     rest, shared, bits = crossing(rest)
-    pairs = cut(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti"))
+    pairs = collected(cut(prefix_pairs(rest, shared, bits).join(tested, ["x", "y"], "left_anti")))
     found = cut(verify(pairs, named(rest, pairs)))
     return components(cut(links.unionByName(found)), "x", "y") if found.take(1) else labels
 

@@ -194,3 +194,14 @@ def test_the_driver_gets_the_model_alone(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word {'bad' if i % 2 else 'good'} {i}") for i in range(20)], "doc_id bigint, text string")
     model = toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
     assert not asked and model.params.any() and model.params.shape == ((model.slot >= 0).sum(), 1 + toxicity.FACTORS)
+
+
+def test_garbage_goes_between_rounds(spark, monkeypatch):
+    """Pipeline: the driver's JVM drops what a round of components has left before the next, and the heap stays small."""
+    from citelake.llm import components as stars
+
+    asked = []
+    monkeypatch.setattr(stars, "collected", lambda df: asked.append(1) or df, raising=False)
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "x bigint, y bigint")
+    got = {r["id"]: r["component"] for r in stars.components(links, "x", "y").collect()}
+    assert len(asked) > 1 and got == dict.fromkeys(range(10), 0)
