@@ -205,3 +205,27 @@ def test_garbage_goes_between_rounds(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(9)], "x bigint, y bigint")
     got = {r["id"]: r["component"] for r in stars.components(links, "x", "y").collect()}
     assert len(asked) > 1 and got == dict.fromkeys(range(10), 0)
+
+
+def _bytes_written(rows, folder):
+    rows.write.parquet(str(folder))
+    return sum(f.stat().st_size for f in folder.iterdir() if f.suffix == ".parquet")
+
+
+def test_pairs_are_written_in_a_fraction_of_a_byte(spark, tmp_path):
+    rows = spark.range(6000).select("id", (F.col("id") % 30).cast("string").alias("doi"), (F.col("id") % 20).cast("string").alias("openalex_id"))
+    pairs = resolve.candidates(rows, rows, ("doi", "openalex_id"))
+    n = 30 * 200**2 + 20 * 300**2 - 60 * 100**2
+    assert _bytes_written(pairs, tmp_path / "pairs") < 0.5 * n
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    assert got.count() == n == got.distinct().count()
+    assert got.where("(record - node) % 30 <> 0 AND (record - node) % 20 <> 0").isEmpty()
+
+
+def test_pairs_of_ids_in_slices_and_of_several_rows(spark):
+    one = spark.range(2500).select("id", F.lit("x").alias("doi"), F.lit(None).cast("string").alias("openalex_id"))
+    two = spark.createDataFrame([(7, "x", "o"), (7, None, "o"), (8, None, None), (9, None, "o")], "id bigint, doi string, openalex_id string")
+    got = resolve.candidates(one, two, ("doi", "openalex_id"))
+    assert got.count() == 2500 == got.distinct().count() and {r["node"] for r in got.select("node").distinct().collect()} == {7}
+    both = sorted(tuple(r) for r in resolve.candidates(two, two, ("doi", "openalex_id")).collect())
+    assert both == [(7, 7), (7, 9), (9, 7), (9, 9)]
