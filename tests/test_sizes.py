@@ -229,3 +229,14 @@ def test_pairs_of_ids_in_slices_and_of_several_rows(spark):
     assert got.count() == 2500 == got.distinct().count() and {r["node"] for r in got.select("node").distinct().collect()} == {7}
     both = sorted(tuple(r) for r in resolve.candidates(two, two, ("doi", "openalex_id")).collect())
     assert both == [(7, 7), (7, 9), (9, 7), (9, 9)]
+
+
+def test_lists_of_classes_are_dealt_by_their_bytes(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 40).cast("string").alias("doi"), F.lit(False).alias("is_stub"))
+    lists = resolve.match_classes(rows, rows, ("doi",), strict=True).select("ids", "node", F.array_join(F.col("merge_ids").cast("array<string>"), ",").alias("merges"))
+    total = sum(100 * len(r["merges"]) for r in lists.select("merges").collect())
+    parts = resolve.written_parts(rows, lists, ("merges",), ("doi",), each=total // 30)
+    assert 30 <= parts <= 31
+    made = resolve.of_classes(rows, lists, ("doi",), parts)
+    held = made.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("merges").alias("lists"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in held) == 4000 and len(held) > 10 and max(r["lists"] for r in held) < 8 and all(r["n"] == 100 * r["lists"] for r in held)
