@@ -240,3 +240,48 @@ def test_lists_of_classes_are_dealt_by_their_bytes(spark):
     made = resolve.of_classes(rows, lists, ("doi",), parts)
     held = made.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("merges").alias("lists"), F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in held) == 4000 and len(held) > 10 and max(r["lists"] for r in held) < 8 and all(r["n"] == 100 * r["lists"] for r in held)
+
+
+def test_betweenness_of_a_large_graph_is_exact(spark, tmp_path):
+    """One paper that 5099 others cite lies on all their paths; a sample of sources would give n / (n - 1) at most."""
+    from citelake import catalog
+
+    for t in ("part", "supplier", "nation", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    n = 5100
+    orders = spark.range(n).select(F.col("id").alias("o_orderkey"), F.date_add(F.lit("1992-01-01").cast("date"), F.col("id").cast("int")).alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"), F.lit(1).cast("bigint").alias("o_custkey"))
+    line = lambda order, i: i.select(order.alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(1).cast("bigint").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    line(F.lit(0).cast("bigint"), spark.range(1, n)).unionByName(line(F.col("id"), spark.range(1, n))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["id"]: r["score"] for r in catalog.queries()["i04_betweenness"](spark, str(tmp_path)).collect()}
+    assert len(got) == n and abs(got[0] - 1) < 1e-12 and max(got[i] for i in range(1, n)) == 0
+
+
+def test_betweenness_looks_edges_up_again(spark):
+    g = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in g.integers(0, 60, (150, 2)) if a != b}
+    edges = spark.createDataFrame(sorted(pairs | {(b, a) for a, b in pairs}), "a bigint, b bigint")
+    nodes = spark.range(65).toDF("id")
+    one, two, three = ({r["id"]: r["score"] for r in df.collect()} for df in (alg.betweenness(nodes, edges), alg.betweenness(nodes, edges, kept_edges=20, block_edges=50), alg.betweenness(nodes, edges, list(range(65)))))
+    assert one.keys() == two.keys() == three.keys() and all(abs(one[i] - two[i]) < 1e-12 and abs(one[i] - three[i]) < 1e-12 for i in one)
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    want = dict.fromkeys(range(65), 0.0)
+    for s in range(65):  # by hand: Brandes
+        order, paths, depth = [s], {s: 1}, {s: 0}
+        for u in order:
+            for v in around.get(u, ()):
+                if v not in depth:
+                    depth[v] = depth[u] + 1
+                    order.append(v)
+                if depth[v] == depth[u] + 1:
+                    paths[v] = paths.get(v, 0) + paths[u]
+        owed = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in around.get(v, ()):
+                if depth[u] == depth[v] - 1:
+                    owed[u] += paths[u] / paths[v] * (1 + owed[v])
+            want[v] += owed[v] if v != s else 0
+    assert all(abs(one[i] - want[i] / (64 * 63)) < 1e-12 for i in want)
