@@ -285,3 +285,31 @@ def test_betweenness_looks_edges_up_again(spark):
                     owed[u] += paths[u] / paths[v] * (1 + owed[v])
             want[v] += owed[v] if v != s else 0
     assert all(abs(one[i] - want[i] / (64 * 63)) < 1e-12 for i in want)
+
+
+def _on_disk(spark) -> int:
+    from pathlib import Path
+
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return sum(f.stat().st_size for f in Path(folder.get().removeprefix("file:")).rglob("*") if f.is_file()) if folder.isDefined() else 0
+
+
+def test_rounds_of_components_leave_the_disk(spark):
+    before = _on_disk(spark)
+    chain = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = alg.connected(chain.where("a % 50 <> 49"))
+    assert got.where("component <> id - id % 50").isEmpty() and got.count() == 20_000
+    assert _on_disk(spark) - before < 500_000
+
+
+def test_a_batch_leaves_its_tables_alone_on_disk(spark):
+    from citelake.operators import load
+
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.sha2(F.concat("id", i).cast("string").cast("binary"), 256)))
+    made = spark.range(200).select("id", F.col("id").alias("place"), F.concat(F.lit("10.1/"), F.col("id")).alias("doi"), text.alias("abstract"))
+    rows = spark.createDataFrame([], load.RECORD).unionByName(made, allowMissingColumns=True)
+    before = _on_disk(spark)
+    done = load.load_batch(load.empty(spark), rows)
+    assert done.counts["received"] == done.counts["papers_created"] == done.tables["paper"].count() == 200
+    assert done.tables["paper"].select("abstract").distinct().count() == 200
+    assert _on_disk(spark) - before < 200 * 12_800
